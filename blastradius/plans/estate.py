@@ -85,6 +85,23 @@ union all select 'tab:s'||s_suppkey, 'k'||(s_suppkey%3), 'tab:s'||s_suppkey, 'k'
 """
 
 
+# Edges as an extractor hands them over: references to relations that no node
+# describes, and structural reads (filter and join columns).
+VIEWS["raw_edges"] = VIEWS["edges"].rstrip() + """
+union all select distinct 'hard.'||lower(p_brand), 'mod:n'||(p_size%25), 'c', 'k0', 'dbt' from part
+union all select distinct 'mod:n'||c_nationkey, 'mod:c'||c_custkey, 'k'||(c_custkey%3), case when c_custkey%2=0 then '__filter__' else '__join__' end, 'dbt' from customer
+union all select distinct 'mod:s'||s_suppkey, 'mod:s'||s_suppkey, 'k0', '__filter__', 'dbt' from supplier where s_acctbal < 0
+"""
+
+# Typed column edges: plain and aliased select items and expressions.
+VIEWS["select_items"] = """
+select src, sc, dst, tc, length(src)%5 <> 0 as is_plain, length(dst)%2 = 0 as is_aliased from (
+select 'src:'||n_regionkey as src, 'k'||(n_nationkey%2) as sc, 'mod:n'||n_nationkey as dst, 'k'||(n_nationkey%3) as tc from nation
+union all select 'mod:n'||c_nationkey, 'k'||(c_custkey%3), 'mod:c'||c_custkey, 'k'||(c_custkey%2) from customer
+union all select 'mod:n'||s_nationkey, 'k'||(s_suppkey%3), 'mod:s'||s_suppkey, 'k'||(s_suppkey%2) from supplier
+union all select 'mod:s'||l_suppkey, 'k'||(l_partkey%2), 'mod:p'||l_partkey, 'k'||(l_linenumber%2) from lineitem) t
+"""
+
 # Views that stand for stored input tables: written once per data folder.
 WRITTEN = {"edges", "nodes", "cols"}
 

@@ -29,6 +29,8 @@ class Context:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
+        if name in estate.TABLES:
+            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         if name not in self._views:
             view = estate.spark_views(self.spark, self.sf_dir, [name])[name]
             self._views[name] = self.ws.save(view, name) if name in estate.WRITTEN else view
