@@ -102,6 +102,38 @@ union all select 'mod:n'||s_nationkey, 'k'||(s_suppkey%3), 'mod:s'||s_suppkey, '
 union all select 'mod:s'||l_suppkey, 'k'||(l_partkey%2), 'mod:p'||l_partkey, 'k'||(l_linenumber%2) from lineitem) t
 """
 
+# --- The boundary between warehouse and BI model ------------------------------------
+# Relations share names (ambiguous matches), requests come quoted, upper case and
+# with missing parts, mapping rows carry every defect.
+
+_PART_TABLE = "case when p_size <= 25 then p_name else p_name||' '||p_size end"
+_BI_TABLE = "(p_partkey - p_partkey%20)"
+
+VIEWS["relations"] = f"""
+select p_partkey as ord, 'part:'||p_partkey as id, case when p_size%7=0 then 'source' when p_size%11=0 then 'unknown' else 'model' end as kind, {_PART_TABLE} as name,
+p_brand as db, p_type as sch, case when p_size%9=0 then cast(null as varchar(9)) else p_brand||'.'||p_type||'.'||{_PART_TABLE} end as relation from part
+"""
+VIEWS["relation_cols"] = "\nunion all ".join(
+    f"select 'part:'||p_partkey as id, 'K{n}' as col from part" for n in range(3)
+)
+VIEWS["requests"] = f"""
+select p_partkey as req, case when p_partkey%5=0 then null else '"'||upper(p_brand)||'"' end as db, case when p_partkey%7=0 then '' else ' '||p_type||' ' end as sch,
+case when p_partkey%11=0 then 'zz' when p_partkey%13=0 then '' else upper({_PART_TABLE}) end as tbl from part
+"""
+VIEWS["mapping"] = f"""
+select p_partkey+2 as row_no, p_brand as from_database, case when p_partkey%17=0 then '' else p_type end as from_schema,
+case when p_partkey%19=0 then p_name||' gone' else {_PART_TABLE} end as from_table, case when {_BI_TABLE}%60=0 then '' else 'k'||(p_size%4) end as from_column,
+case when p_size=50 then 'No table '||p_partkey else 'Table '||{_BI_TABLE} end as to_table, case when {_BI_TABLE}%60=0 and p_partkey%13<>0 then '' else 'K'||(p_size%2) end as to_column from part
+union all select p_partkey+1000000002, upper(p_brand), p_type, lower({_PART_TABLE}), case when {_BI_TABLE}%60=0 then '' else 'K'||(p_size%4) end,
+'TABLE '||{_BI_TABLE}, case when {_BI_TABLE}%60=0 and p_partkey%13<>0 then '' else 'k'||(p_size%2) end from part where p_size >= 45
+"""
+VIEWS["model_tables"] = f"select distinct 'Table '||{_BI_TABLE} as tbl, {_BI_TABLE}%80<>0 as has_source from part"
+VIEWS["model_cols"] = f"select distinct 'Table '||{_BI_TABLE} as tbl, 'k'||(p_size%3) as col from part"
+VIEWS["physical"] = f"""
+select p_partkey as ord, case when p_size%2=0 then p_brand end as db, case when p_size%5=0 then null else p_type end as sch, {_PART_TABLE} as tbl, 'k'||(p_partkey%4) as col,
+'table '||{_BI_TABLE} as model_table, 'K'||(p_partkey%3) as model_column from part
+"""
+
 # Views that stand for stored input tables: written once per data folder.
 WRITTEN = {"edges", "nodes", "cols"}
 
