@@ -8,8 +8,6 @@ in Spark and in DuckDB; the checks inline the same views as CTEs.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -134,17 +132,96 @@ select p_partkey as ord, case when p_size%2=0 then p_brand end as db, case when
 'table '||{_BI_TABLE} as model_table, 'K'||(p_partkey%3) as model_column from part
 """
 
+# --- The BI model ---------------------------------------------------------------------
+# Tables are customers, measures parts, visuals orders, field uses line items.
+
+_NC = "(select count(*) from customer)"
+_NS = "(select count(*) from supplier)"
+
+VIEWS["formulas"] = f"""
+select 'm'||p_partkey as name, 'T'||(p_partkey % {_NC}) as home, p_partkey as ord,
+case when p_size%3=0 then '/* [gone] '||p_type||' */ ' else '' end||'DIVIDE([m'||cast((p_partkey - p_partkey%3)/3 as bigint)||'], SUM(''T'||(p_partkey % {_NC})||'''[c'||(p_size%4)||' ])) + COUNTROWS(T'||((p_partkey*7) % {_NC})||') // [x]'
+||case when p_size%5=0 then chr(10)||'+ IF("[no]" = "a", [ m'||(p_partkey%10)||'], T'||((p_partkey*3) % {_NC})||'[c1]) + countrows( ''T'||(p_partkey % {_NC})||''' )' else '' end as expr from part
+"""
+VIEWS["bi_tables"] = "select 'T'||c_custkey as tbl, c_custkey as ord from customer"
+VIEWS["bi_columns"] = "\nunion all ".join(
+    f"select 'T'||c_custkey as tbl, 'c{n}' as col, {'c_custkey%4=0' if n == 3 else 'false'} as is_calculated, "
+    + (
+        f"case when c_custkey%4=0 then 'RELATED(T'||((c_custkey*3) % {_NC})||'[c0]) + [m'||c_custkey||']' end as expr from customer"
+        if n == 3
+        else "cast(null as varchar(9)) as expr from customer"
+    )
+    for n in range(4)
+)
+VIEWS["calc_partitions"] = f"""
+select 'X'||s_suppkey as tbl, case when s_suppkey%5=0 then 'm' else 'calculated' end as source_type, 'FILTER(T'||s_suppkey||', ''T'||((s_suppkey*2) % {_NC})||'''[c1] > 0) X'||s_suppkey||'[c0]' as body from supplier
+"""
+# Uses of fields in visuals; some name fields the model does not have, some differ in case.
+VIEWS["field_use"] = f"""
+select 'v'||l_orderkey as visual, o_orderpriority as page, 'type'||(l_orderkey%4) as visual_type, case when l_linenumber%3=0 then 'column' when l_linenumber=7 then 'hierarchy' else 'measure' end as type,
+case when l_linenumber%3=0 then 'T'||o_custkey when l_linenumber=7 then 'T'||(l_suppkey*20) when l_linenumber=2 then 't'||(l_partkey % {_NC}) else 'T'||(l_partkey % {_NC}) end as tbl,
+case when l_linenumber%3=0 then 'c'||(l_suppkey%5) when l_linenumber=7 then 'h1' when l_linenumber=5 then 'gone'||l_partkey else 'm'||l_partkey end as field,
+case when l_linenumber%2=0 then 'Y' else 'Category' end as role,
+case when l_returnflag='A' then 'Label '||(l_partkey%100) when l_returnflag='N' then ' M'||l_partkey||' ' end as display, l_orderkey*100000 + l_linenumber*10000 + l_suppkey%10000 as ord from lineitem join orders on l_orderkey = o_orderkey
+union all select 'v'||o_orderkey, o_orderpriority, 'slicer', 'column', 'P'||(o_custkey % {_NS}), 'P'||(o_custkey % {_NS}), 'Rows', cast(null as varchar(9)), o_orderkey*100000 + 90000 from orders where o_orderstatus = 'P'
+union all select 'v'||o_orderkey, o_orderpriority, 'slicer', 'column', 'G'||(o_custkey % {_NS}), 'G', 'Rows', cast(null as varchar(9)), o_orderkey*100000 + 95000 from orders where o_orderstatus = 'F'
+"""
+# Rows of field parameters: columns, table-less measures, other spellings, fields that are gone.
+VIEWS["parameter_items"] = f"""
+select 'P'||(p_partkey % {_NS}) as param, 'Caption '||p_partkey as caption, case when p_size%3=0 then null when p_size%3=1 then 't'||(p_partkey % {_NC}) else 'T'||(p_partkey % {_NC}) end as target_table,
+case when p_size%10=0 then 'gone' when p_size%3=0 then 'M'||p_partkey else 'C'||(p_size%4) end as target_name, cast((p_partkey - p_partkey % {_NS}) / {_NS} as bigint) as item_order from part
+"""
+VIEWS["selections"] = f"select 'v'||o_orderkey as visual, 'P'||(o_custkey % {_NS}) as param, o_orderkey%5 as selected from orders where o_orderstatus = 'P'"
+VIEWS["calc_items"] = "\nunion all ".join(f"select 'G'||s_suppkey as tbl, 'item{n}' as item from supplier" for n in range(3))
+
+# Query text of the BI tables, one source and navigation style per kind of customer.
+VIEWS["m_queries"] = f"""
+select 'T'||c_custkey as tbl, c_custkey as ord, 'let'||chr(10)||'  Source = '||case c_custkey%7
+when 0 then 'Sql.Database("srv'||c_nationkey||'.database.windows.net", "db'||(c_custkey%11)||'"),'||chr(10)||'  Nav = Source{{[Schema="'||lower(c_mktsegment)||'", Item="item'||c_custkey||'"]}}[Data],'
+when 1 then 'Snowflake.Databases("acct'||c_nationkey||'", "WH"),'||chr(10)||'  Nav = Source{{ [ Item = "item'||c_custkey||'", Schema = "raw" ] }}[Data],'
+when 2 then 'GoogleBigQuery.Database(),'||chr(10)||'  a = Source{{[Name="proj'||c_nationkey||'"]}}[Data],'||chr(10)||'  b = a{{[Name="'||lower(c_mktsegment)||'", Kind="Schema"]}}[Data],'||chr(10)||'  Nav = b{{[Name="item'||c_custkey||'", Kind="Table"]}}[Data],'
+when 3 then 'shared_'||(c_custkey % {_NS})||','||chr(10)||'  Nav = Source,'
+when 4 then 'Excel.Workbook(File.Contents("C:/data/'||case when c_custkey%2=0 then 'SharePoint/' else '' end||'f'||c_nationkey||'.xlsx"), null, true),'||chr(10)||'  Nav = Source{{[Name="Sheet'||c_custkey||'"]}}[Data],'
+when 5 then 'Value.NativeQuery(PostgreSQL.Database("pg'||c_nationkey||'", "sales"), "SELECT a FROM raw.[orders'||c_nationkey||'] o JOIN `items` i ON o.k = i.k WHERE x in (select k from (select 1))", null),'||chr(10)||'  Nav = Source,'
+else 'Sql.Database(#"Param'||c_nationkey||'", "db1"),'||chr(10)||'  Nav = Source{{[Schema="dbo", Item="item'||c_custkey||'"]}}[Data],' end
+||chr(10)||'  Ren = Table.RenameColumns(Nav, {{{{"src_a", "c0"}}, {{"src_'||(c_custkey%3)||'", "c1"}}}}),'
+||chr(10)||'  Sel = Table.SelectColumns(Ren, {{"c0", "c1", "c2", "c'||(c_custkey%5)||'x"}}),'
+||case when c_custkey%2=0 then chr(10)||'  Rem = Table.RemoveColumns(Sel, {{"c2"}}),' else '' end
+||chr(10)||'  Add = Table.AddColumn(Sel, "Key'||(c_custkey%3)||'", each if [c0] = null then Text.From([#"c 1"]) else Record.Field([Name = "x"], "c") & [c2]),'
+||case when c_custkey%3=0 then chr(10)||'  Mrg = Table.NestedJoin(Add, {{"c0", "c1"}}, T'||((c_custkey*5) % {_NC})||', {{"c2"}}, "x", JoinKind.Inner),' else '' end
+||case when c_custkey%5=0 then chr(10)||'  Cmb = Table.Combine({{Add, T'||((c_custkey*3) % {_NC})||', #"T'||((c_custkey*2) % {_NC})||'"}}),' else '' end
+||chr(10)||'  Last = Table.SelectRows(Add, each true)'||chr(10)||'in'||chr(10)||'  Last' as m from customer
+"""
+# Shared queries, in chains of up to five, and parameter queries.
+VIEWS["shared_exprs"] = """
+select 'shared_'||s_suppkey as name, s_suppkey as ord, case when s_suppkey%5=0 then 'let Source = Oracle.Database("ora'||s_nationkey||'"), Nav = Source{[Schema="own", Item="shared'||s_suppkey||'"]}[Data] in Nav'
+else 'let Source = shared_'||(s_suppkey-1)||' in Source' end as expr from supplier
+union all select 'Param'||n_nationkey, n_nationkey + 1000000000, '"host'||n_nationkey||'" meta [IsParameterQuery=true, Type="Text"]' from nation
+"""
+# Text of field parameters, both row widths, quoted, bare and missing table names.
+VIEWS["parameter_text"] = """
+select p_partkey as id, case when p_size%7=0 then 'm' when p_size%4=0 then null else 'calculated' end as source_type, p_size%9=0 as has_marker,
+case when p_size%6=0 then 'SWITCH(TRUE(), 1, 2)' else '{'||chr(10)||'  ("The ""'||p_name||'""'||'", NAMEOF('''||p_type||' T''[c'||(p_size%3)||']), '||p_size||'),'||chr(10)||'  ("b", nameof(T'||p_size||'[x y]) , -1, "G1"),'||chr(10)||'  ( "c",NAMEOF( [m'||p_partkey||'] ))'||chr(10)||'}' end as body from part
+"""
+VIEWS["sql_text"] = """
+select p_partkey as id, 'select * from '||case p_size%4 when 0 then 'raw.' when 1 then '"Raw" . ' else '' end||'['||lower(p_type)||p_size||'] a left join `t'||p_size||'` b on a.k = b.k where exists (select 1 from'||chr(10)||' only_'||lower(p_type)||') and x from (select' as sql from part
+"""
+# Indented model text, one file per supplier.
+VIEWS["model_text"] = """
+select s_suppkey as doc, 'relationship r'||s_suppkey||chr(10)||'  fromColumn: ''A b.c''.''c '||s_nationkey||''''||chr(10)||'  toColumn: D.'||s_name||chr(10)||case when s_suppkey%2=0 then '  isActive: false'||chr(10) else '' end
+||case when s_suppkey%3=0 then chr(9)||'fromCardinality: one'||chr(10)||'  crossFilteringBehavior: bothDirections'||chr(10) else '' end||'annotation x: y'||chr(10)||'relationship ''q '||s_suppkey||''' = z'||chr(10)||'  fromColumn: X.y'||chr(10)||'  fromColumn: X.y'||s_nationkey||chr(10)||'  toColumn: plain'||chr(10) as body from supplier
+"""
+
 # Views that stand for stored input tables: written once per data folder.
 WRITTEN = {"edges", "nodes", "cols"}
 
 
-def spark_views(spark: SparkSession, sf_dir: str, names: Iterable[str]) -> dict[str, DataFrame]:
-    """The named views as DataFrames over the parquet files of ``sf_dir``."""
-    wanted = list(names)
+def spark_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """``text`` over the parquet files of ``sf_dir``."""
     for table in TABLES:
-        if any(_mentions(VIEWS[n], table) for n in wanted):
+        if _mentions(text, table):
             spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    return {n: spark.sql(VIEWS[n]) for n in wanted}
+    return spark.sql(text)
 
 
 def _mentions(text: str, table: str) -> bool:

@@ -32,10 +32,14 @@ class Context:
         if name in estate.TABLES:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         if name not in self._views:
-            view = estate.spark_views(self.spark, self.sf_dir, [name])[name]
+            view = self.sql(estate.VIEWS[name])
             self._views[name] = self.ws.save(view, name) if name in estate.WRITTEN else view
         return self._views[name]
 
+    def sql(self, text: str) -> DataFrame:
+        """Inline SQL over the given tables."""
+        return estate.spark_sql(self.spark, self.sf_dir, text)
+
     def shared(self, name: str, build: Callable[["Context"], DataFrame]) -> DataFrame:
         """A table several queries read, computed once per session and data folder."""
         if name not in self._shared:
