@@ -212,6 +212,70 @@ select s_suppkey as doc, 'relationship r'||s_suppkey||chr(10)||'  fromColumn: ''
 ||case when s_suppkey%3=0 then chr(9)||'fromCardinality: one'||chr(10)||'  crossFilteringBehavior: bothDirections'||chr(10) else '' end||'annotation x: y'||chr(10)||'relationship ''q '||s_suppkey||''' = z'||chr(10)||'  fromColumn: X.y'||chr(10)||'  fromColumn: X.y'||s_nationkey||chr(10)||'  toColumn: plain'||chr(10) as body from supplier
 """
 
+# --- Artifacts -----------------------------------------------------------------------------
+# One small project (manifest and catalog) and one small report per customer, one
+# visual definition per order, one mapping sheet per part.
+
+VIEWS["manifest_json"] = """
+select c_custkey as doc, '{"metadata":{"project_name":"p'||c_custkey||'"},"nodes":{"model.p.m'||c_custkey||'":{"resource_type":"model","name":"m'||c_custkey||'","database":"DB","schema":"s'||c_nationkey||'","path":"staging/'||lower(c_mktsegment)||'/m.sql","description":"'||case when c_custkey%3=0 then '' else 'about '||c_custkey end||'","tags":["'||c_mktsegment||'","t'||(c_custkey%5)||'"],'
+||case when c_custkey%4=0 then '' else '"compiled_code":"select 1",' end||'"config":{"materialized":"'||case when c_custkey%6=0 then 'ephemeral' else 'view' end||'"},"columns":{"K0":{"data_type":"int","description":"d","quote":true},"K1":{"description":""},"only_docs":{}}},'
+||'"test.p.t'||c_custkey||'":{"resource_type":"test","name":"generic_'||c_custkey||'","attached_node":"model.p.m'||c_custkey||'","column_name":"K0","test_metadata":{"name":"not_null"},"config":{"severity":"warn"}},'
+||'"test.p.u'||c_custkey||'":{"resource_type":"test","name":"singular_'||c_custkey||'"'||case when c_custkey%2=0 then ',"attached_node":"model.p.m'||c_custkey||'"' else '' end||'},'
+||'"analysis.p.a'||c_custkey||'":{"resource_type":"analysis","name":"a'||(c_custkey%40)||'"},"seed.p.d'||c_custkey||'":{"resource_type":"seed","name":"d'||c_custkey||'","alias":"x","path":"d.csv","schema":"raw"}},'
+||'"sources":{"source.p.s'||c_custkey||'":{"resource_type":"source","name":"s'||c_custkey||'","identifier":"ident'||c_custkey||'","database":"DB","schema":"raw'||c_nationkey||'"'||case when c_custkey%3=0 then '' else ',"source_name":"crm'||(c_custkey%7)||'"' end||',"columns":{}}},'
+||'"exposures":{"exposure.p.e'||c_custkey||'":{"resource_type":"exposure","name":"e'||c_custkey||'"}}}' as body from customer
+"""
+VIEWS["catalog_json"] = """
+select c_custkey as doc, '{"nodes":{'||case when c_custkey%5=0 or c_custkey%6=0 then '' else '"model.p.m'||c_custkey||'":{"metadata":{"schema":"s"},"columns":{"K0":{"type":"bigint","index":2},"K1":{"type":"text","index":1},"Z":{"type":"date","index":3}}}' end
+||'},"sources":{"source.p.s'||c_custkey||'":{"columns":{"a":{"type":"int","index":1}}}}}' as body from customer
+"""
+VIEWS["parents"] = """
+select 'model.p.m'||c_custkey as model, 'model.p.m'||((c_custkey*7) % (select count(*) from customer)) as parent from customer
+union all select 'model.p.m'||c_custkey, 'source.p.s'||((c_custkey*3) % (select count(*) from customer)) from customer
+union all select 'model.p.m'||c_custkey, 'seed.p.d'||c_custkey from customer
+"""
+VIEWS["derived_columns"] = "select 'model.p.m'||c_custkey as node, 'k'||(c_custkey%3) as col from customer where c_acctbal > 5000"
+VIEWS["visual_json"] = """
+select o_orderkey as visual, '{"name":"v'||o_orderkey||'","visual":{"visualType":"t'||(o_orderkey%4)||'",'
+||case o_orderkey%3 when 0 then '"visualContainerObjects":{"title":[{"properties":{"text":{"expr":{"Literal":{"Value":"''Title '||o_orderkey||'''"}}}}}]},' when 1 then '"visualContainerObjects":{"general":[{"properties":{"title":{"expr":{"Literal":{"Value":"''General''"}}}}}]},' else '' end
+||'"query":{"queryState":{"Y":{"projections":[{"field":{"Measure":{"Expression":{"SourceRef":{"Entity":"T'||(o_custkey%20)||'"}},"Property":"m'||(o_custkey%9)||'"}},"queryRef":"x","displayName":"'||case when o_orderkey%2=0 then 'M'||(o_custkey%9) else ' Label '||(o_custkey%11) end||'"},'
+||'{"field":{"Column":{"Expression":{"SourceRef":{"Entity":"T'||(o_custkey%20)||'"}},"Property":"c1"}},"nativeQueryRef":"n"}]},'
+||'"Rows":{"projections":[{"field":{"Hierarchy":{"Expression":{"SourceRef":{"Entity":"Date"}},"Hierarchy":"Year"}}}]'||case when o_orderkey%5=0 then ',"fieldParameters":[{"parameterExpr":{"Column":{"Expression":{"SourceRef":{"Entity":"P'||(o_custkey%7)||'"}},"Property":"P"}},"index":'||(o_orderkey%3)||',"length":1}]' else '' end||'}},'
+||'"sortDefinition":{"sort":[{"field":{"Measure":{"Expression":{"SourceRef":{"Entity":"T'||(o_custkey%20)||'"}},"Property":"m'||(o_custkey%8)||'"}}}]}}},'
+||'"filterConfig":{"filters":[{"field":{"Column":{"Expression":{"SourceRef":{"Entity":"F"}},"Property":"f'||(o_orderkey%6)||'"}}},{"name":"no field"}]}}' as body from orders
+"""
+VIEWS["pages_json"] = """
+select c_custkey as report, '{"pageOrder":["k2","k'||(c_custkey%2)||'"],"activePageName":"k2","landingPageName":"k'||(c_custkey%3)||'"}' as body from customer
+"""
+VIEWS["page_json"] = "\nunion all ".join(
+    f"""select c_custkey as report, 'folder{n}_'||c_custkey as page_id, '{{'||case when c_custkey%5={n} then '' else '"name":"k{n}",' end||'"displayName":"'||case when c_custkey%4={n} then '' else c_mktsegment||' {n}' end||'"'||"""
+    f"""case when c_custkey%3={n} then ',"width":1920,"height":1080' else '' end||case when c_custkey%7={n} then ',"visibility":"HiddenInViewMode"' when c_custkey%7=5 then ',"visibility":"AlwaysVisible"' else '' end||'}}' as body from customer"""
+    for n in range(3)
+)
+VIEWS["mapping_csv"] = """
+select p_partkey as doc, case when p_size%10=0 then 'from database,FROM_SCHEMA,To Table,From Column,To Column,Note' else 'Note,from_database, From  Schema ,FROM TABLE,To Table,from column,to_column' end||chr(13)||chr(10)||'  '||chr(10)
+||'n,"'||p_brand||'",'||p_type||' ,"a ""'||p_name||'"", b",T'||p_size||',"",'||chr(10)||chr(10)||'"x, y",'||p_brand||', s,'||p_name||',"T, '||p_size||'",c1,  c2 '||case when p_size%2=0 then chr(10)||'short,'||p_brand else '' end as body from part
+"""
+# Table references found in queries, with the text of the query they stand in.
+VIEWS["table_refs"] = """
+select p_partkey as id, case when p_size%3=0 then '' else lower(p_brand) end as cat, case when p_size%11=0 then '' else lower(p_type) end as db,
+case when p_size%4=0 then 'Nowhere'||p_size else upper(p_name) end as tbl, case when p_size%8=0 then 'select * from nowhere'||p_size else 'select 1' end as raw_code from part
+"""
+VIEWS["searchables"] = """
+select p_partkey as id, p_name as label, split(p_brand||','||p_type||','||'Alias '||p_size, ',') as aliases, 'L'||(p_size%3) as layer, split('t'||(p_size%5)||','||p_type, ',') as tags,
+case when p_size%2=0 then 'measure' else 'dbtModel' end as facet from part
+"""
+VIEWS["folders"] = """
+select c_custkey as id, lower(r_name)||'/'||lower(n_name)||case when c_custkey%3=0 then '' else '/'||lower(c_mktsegment) end as layer from customer join nation on c_nationkey=n_nationkey join region on n_regionkey=r_regionkey
+"""
+
+# Nodes with the place they are stored; report nodes have none.
+VIEWS["everything"] = """
+select 'part:'||p_partkey as id, 'model' as kind, p_brand as db, case when p_size%9=0 then null else p_type end as sch from part
+union all select 'T'||c_custkey, 'pbiTable', null, null from customer
+union all select 'v'||o_orderkey, 'visual', null, null from orders
+"""
+
 # Views that stand for stored input tables: written once per data folder.
 WRITTEN = {"edges", "nodes", "cols"}
 

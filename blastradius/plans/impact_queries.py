@@ -164,6 +164,13 @@ def feeders(c: Context):
     )
 
 
+def visuals_of(c: Context, crossing):
+    """Visuals downstream of any crossing node, each once."""
+    flow = c.edges.where(F.col("kind") != "page_to_visual")
+    reached = W.reach_set(c.ws, W.arcs(flow, c.nodes), crossing.select(F.col("source").alias("id")).distinct(), "visuals")
+    return reached.join(c.nodes.where(F.col("kind") == "visual").select("id"), "id", "left_semi")
+
+
 @query("key_feeders", KEYS + " /*main*/ select side, id, col, key_table, key_column from fx_feeders")
 def key_feeders(c: Context):
     """Columns that feed a join key in one derivation step, on either side of the boundary."""

@@ -75,7 +75,9 @@ def query(name: str, oracle: str | None = None) -> Callable:
 
 
 def oracle_text(body: str) -> str:
-    """Prefix a check with the views it reads; ``/*with*/`` marks further CTEs of its own."""
+    """Prefix a check with the views it reads; CTEs of its own stand before ``/*main*/``."""
+    if body.startswith("with "):
+        return body
     used = [v for v in estate.VIEWS if re.search(rf"\bfx_{v}\b", body)]
     heads = [f"fx_{v} as ({estate.VIEWS[v].strip()})" for v in used]
     own, main = body.split("/*main*/") if "/*main*/" in body else ("", body)
