@@ -71,5 +71,5 @@ def search_rank(
         rows.withColumn("band", band)
         .where(F.col("band").isNotNull())
         .select("*", F.length("label").alias("label_length"), (alias if text else F.lit(None).cast("string")).alias("matched_alias"))
-        .orderBy("band", "label_length", "label")
+        .orderBy("band", "label_length", "label", "id")
     )

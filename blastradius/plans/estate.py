@@ -137,6 +137,7 @@ select p_partkey as ord, case when p_size%2=0 then p_brand end as db, case when
 
 _NC = "(select count(*) from customer)"
 _NS = "(select count(*) from supplier)"
+_NP = "(select 5 * count(*) from supplier)"
 
 VIEWS["formulas"] = f"""
 select 'm'||p_partkey as name, 'T'||(p_partkey % {_NC}) as home, p_partkey as ord,
@@ -163,15 +164,15 @@ case when l_linenumber%3=0 then 'T'||o_custkey when l_linenumber=7 then 'T'||(l_
 case when l_linenumber%3=0 then 'c'||(l_suppkey%5) when l_linenumber=7 then 'h1' when l_linenumber=5 then 'gone'||l_partkey else 'm'||l_partkey end as field,
 case when l_linenumber%2=0 then 'Y' else 'Category' end as role,
 case when l_returnflag='A' then 'Label '||(l_partkey%100) when l_returnflag='N' then ' M'||l_partkey||' ' end as display, l_orderkey*100000 + l_linenumber*10000 + l_suppkey%10000 as ord from lineitem join orders on l_orderkey = o_orderkey
-union all select 'v'||o_orderkey, o_orderpriority, 'slicer', 'column', 'P'||(o_custkey % {_NS}), 'P'||(o_custkey % {_NS}), 'Rows', cast(null as varchar(9)), o_orderkey*100000 + 90000 from orders where o_orderstatus = 'P'
+union all select 'v'||o_orderkey, o_orderpriority, 'slicer', 'column', 'P'||(o_custkey % {_NP}), 'P'||(o_custkey % {_NP}), 'Rows', cast(null as varchar(9)), o_orderkey*100000 + 90000 from orders where o_orderstatus = 'P'
 union all select 'v'||o_orderkey, o_orderpriority, 'slicer', 'column', 'G'||(o_custkey % {_NS}), 'G', 'Rows', cast(null as varchar(9)), o_orderkey*100000 + 95000 from orders where o_orderstatus = 'F'
 """
 # Rows of field parameters: columns, table-less measures, other spellings, fields that are gone.
 VIEWS["parameter_items"] = f"""
-select 'P'||(p_partkey % {_NS}) as param, 'Caption '||p_partkey as caption, case when p_size%3=0 then null when p_size%3=1 then 't'||(p_partkey % {_NC}) else 'T'||(p_partkey % {_NC}) end as target_table,
-case when p_size%10=0 then 'gone' when p_size%3=0 then 'M'||p_partkey else 'C'||(p_size%4) end as target_name, cast((p_partkey - p_partkey % {_NS}) / {_NS} as bigint) as item_order from part
+select 'P'||(p_partkey % {_NP}) as param, 'Caption '||p_partkey as caption, case when p_size%3=0 then null when p_size%3=1 then 't'||(p_partkey % {_NC}) else 'T'||(p_partkey % {_NC}) end as target_table,
+case when p_size%10=0 then 'gone' when p_size%3=0 then 'M'||p_partkey else 'C'||(p_size%4) end as target_name, cast((p_partkey - p_partkey % {_NP}) / {_NP} as bigint) as item_order from part
 """
-VIEWS["selections"] = f"select 'v'||o_orderkey as visual, 'P'||(o_custkey % {_NS}) as param, o_orderkey%5 as selected from orders where o_orderstatus = 'P'"
+VIEWS["selections"] = f"select 'v'||o_orderkey as visual, 'P'||(o_custkey % {_NP}) as param, o_orderkey%5 as selected from orders where o_orderstatus = 'P'"
 VIEWS["calc_items"] = "\nunion all ".join(f"select 'G'||s_suppkey as tbl, 'item{n}' as item from supplier" for n in range(3))
 
 # Query text of the BI tables, one source and navigation style per kind of customer.

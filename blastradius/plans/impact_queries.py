@@ -419,13 +419,11 @@ def linked_only(c: Context):
     return W.linked_only(c.ws, c.nodes, c.edges)
 
 
-ANCESTORS = "recursive" + ARCS + """,
-fx_anc as (select dst as id, src as up from fx_arc union select r.id, a.src from fx_anc r join fx_arc a on a.dst = r.up)"""
-
-
 @query(
     "upstream_depth",
-    ANCESTORS + """ /*main*/
+    "recursive" + ARCS + """,
+fx_anc as (select n.id, a.src as up from fx_nodes n join fx_arc a on a.dst = n.id where n.kind in ('measure', 'pbiTable')
+  union select r.id, a.src from fx_anc r join fx_arc a on a.dst = r.up) /*main*/
 select n.id, count(distinct case when u.kind = 'model' then u.id end) as models, count(distinct case when u.kind = 'source' then u.id end) as sources
 from fx_nodes n left join fx_anc a on a.id = n.id and a.up <> n.id left join fx_nodes u on u.id = a.up where n.kind in ('measure', 'pbiTable') group by 1""",
 )
@@ -436,9 +434,9 @@ def upstream_depth(c: Context):
 
 @query(
     "page_summary",
-    ANCESTORS + """,
+    "recursive" + ARCS + """,
 fx_held as (select distinct src as page, dst as visual from fx_edges where kind = 'page_to_visual'),
-fx_pu as (select distinct h.page, a.up from fx_held h join fx_anc a on a.id = h.visual) /*main*/
+fx_pu as (select h.page, a.src as up from fx_held h join fx_arc a on a.dst = h.visual union select p.page, a.src from fx_pu p join fx_arc a on a.dst = p.up) /*main*/
 select n.id, (select count(*) from fx_held h where h.page = n.id) as visuals,
   count(distinct case when u.kind = 'model' then u.id end) as models, count(distinct case when u.kind = 'pbiTable' then u.id end) as tables,
   count(distinct case when u.kind = 'measure' then u.id end) as measures

@@ -253,4 +253,4 @@ def page_scan(pages: DataFrame, reports: DataFrame) -> DataFrame:
 
 
 def page_order(pages: DataFrame) -> DataFrame:
-    return pages.orderBy("report", "place", "name")
+    return pages.orderBy("report", "place", "name", "page_id")

@@ -8,19 +8,17 @@ from pyspark.sql import functions as F
 from blastradius.functions.norm import strip
 from blastradius.operators.match import MAPPING_COLUMNS
 
-# A comma with an even number of quote marks after it separates cells.
-SEPARATOR = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# One cell: plain runs and quoted runs (which may hold commas) up to the next comma.
+CELL = r'(?:^|,)((?:[^,"]++|"(?:[^"]|"")*+"?)*+)'
+QUOTED = r'"((?:[^"]|"")*+)"?'
 
 
 def cells(line: Column) -> Column:
     """Trimmed cells of one line; a doubled quote mark inside quotes stands for one."""
-
-    def unquote(c: Column) -> Column:
-        inner = F.regexp_extract(c, r'(?s)^"(.*)"$', 1)
-        bare = F.when(c.rlike(r'(?s)^".*"$'), inner).otherwise(c)
-        return strip(F.replace(bare, F.lit('""'), F.lit('"')))
-
-    return F.transform(F.split(line, SEPARATOR, -1), lambda c: unquote(strip(c)))
+    found = F.regexp_extract_all(line, F.lit(CELL), F.lit(1))
+    return F.transform(
+        found, lambda c: strip(F.replace(F.regexp_replace(c, QUOTED, "$1"), F.lit('""'), F.lit('"')))
+    )
 
 
 def heading(c: Column) -> Column:
