@@ -13,9 +13,14 @@ from blastradius.functions.norm import blank_to_null, strip
 
 
 def matches(text: Column, pattern: str, *groups: str) -> Column:
-    """Array of structs, one field per named capture group, in order of appearance."""
-    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(n + 1)).alias(g) for n, g in enumerate(groups)]
-    return F.arrays_zip(*parts)
+    """Array of structs, one field per named capture group, in order of appearance.
+
+    The text is searched once; groups are read from the short matches.
+    """
+    return F.transform(
+        all_of(text, pattern, 0),
+        lambda hit: F.struct(*[F.regexp_extract(hit, pattern, n + 1).alias(g) for n, g in enumerate(groups)]),
+    )
 
 
 def all_of(text: Column, pattern: str, group: int = 1) -> Column:

@@ -33,16 +33,19 @@ def closure(
     carry: Sequence[str] = (),
     max_hops: int | None = None,
     name: str = "closure",
+    written: bool = False,
 ) -> DataFrame:
     """All (origin, v) pairs with a path of at least one edge from origin's seeds.
 
     ``edges``: src, dst, optional weight ``w`` and ``carry`` columns that depend
-    on dst alone.  ``seeds``: origin, v; without it every src is its own origin.
+    on dst alone; written once here unless the caller has (``written``).  ``seeds``: origin, v; without it every src is its own origin.
     ``combine`` folds the weight along a path and must never lower a path's
     standing below the worse of its parts; of several paths the largest weight
     stays.  Result: origin, v, w, hop, carry; a pair has one row per weight it
     improved to, so ``max(w)`` and ``min(hop)`` per pair finish the job.
     """
+    if not written:
+        edges = ws.save(edges, f"{name}-edges")
     if "w" not in edges.columns:
         edges = edges.withColumn("w", F.lit(1))
     step_cols = [F.col("dst").alias("v"), *[F.col(c) for c in carry]]
@@ -107,6 +110,35 @@ def column_name(c: Column) -> Column:
     return F.when(low != "", low)
 
 
+class NodeGraph:
+    """Nodes numbered once, and the distinct arcs between existing nodes.
+
+    ``nodes`` (id, nid, kind), ``arcs`` (src, dst).
+    """
+
+    def __init__(self, ws: Workspace, nodes: DataFrame, edges: DataFrame):
+        self.ws = ws
+        self.nodes = ws.save(nodes.select("id", F.monotonically_increasing_id().alias("nid"), "kind"), "graph-nodes")
+        number = self.nodes.select("id", "nid")
+        self.arcs = ws.save(
+            edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+            .join(number.select(F.col("id").alias("a"), F.col("nid").alias("src")), "a")
+            .join(number.select(F.col("id").alias("b"), F.col("nid").alias("dst")), "b")
+            .select("src", "dst")
+            .distinct(),
+            "graph-arcs",
+        )
+
+    def steps(self, direction: str) -> DataFrame:
+        if direction == "down":
+            return self.arcs
+        return self.arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+    def numbers(self, ids: DataFrame) -> DataFrame:
+        """Adds nid to a table of ids."""
+        return ids.join(self.nodes.select("id", "nid"), "id")
+
+
 class StateGraph:
     """Positions of a walk that carries a column, and the moves between them.
 
@@ -210,7 +242,7 @@ class StateGraph:
         """
         inner = self.moves.where(~F.col("sink"))
         last = self.moves.where(F.col("sink"))
-        walked = closure(self.ws, inner, carry=("nid", "kind"), name="impact")
+        walked = closure(self.ws, inner, carry=("nid", "kind"), name="impact", written=True)
         beyond = walked.select("origin", F.col("v").alias("src"), "w").join(
             last.select("src", "nid", "kind", F.col("w").alias("ew")), "src"
         )

@@ -187,7 +187,7 @@ def join_reach(
         .join(declared.select("v"), "v", "left_semi")
         .select(F.col("v").alias("origin"), "v")
     )
-    found = closure(ws, back, keys, name="join-reach").select("origin", "v").distinct()
+    found = closure(ws, back, keys, name="join-reach", written=True).select("origin", "v").distinct()
     held = (
         found.select(F.col("origin.t").alias("tkey"), F.col("origin.c").alias("ckey"), "v")
         .join(rels, ["tkey", "ckey"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from blastradius.functions.norm import lineage_name, lineage_rank, norm
 from blastradius.operators.closure import (
     CONTAINMENT,
+    NodeGraph,
     StateGraph,
     closure,
     column_name,
@@ -17,49 +18,54 @@ from blastradius.operators.closure import (
 from blastradius.workspace import Workspace
 
 
-def arcs(edges: DataFrame, nodes: DataFrame, direction: str = "down") -> DataFrame:
-    """Distinct src, dst of the node graph in walking order; the far end must exist."""
-    near, far = ("src", "dst") if direction == "down" else ("dst", "src")
-    out = edges.select(F.col(near).alias("src"), F.col(far).alias("dst")).distinct()
-    return out.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
-
-
-def reach_set(ws: Workspace, steps: DataFrame, start: DataFrame, name: str) -> DataFrame:
-    """id: the start nodes and everything reached from them over ``steps``."""
-    seeds = start.select(F.lit(0).alias("origin"), F.col("id").alias("v")).distinct()
-    beyond = closure(ws, steps, seeds, name=name).select(F.col("v").alias("id"))
-    return start.select("id").unionByName(beyond).distinct()
+def reach_set(ws: Workspace, steps: DataFrame, start: DataFrame, name: str, written: bool = False) -> DataFrame:
+    """v: the start vertices and everything reached from them over ``steps``."""
+    first = start.select("v").distinct()
+    seeds = first.select(F.lit(0).alias("origin"), "v")
+    beyond = closure(ws, steps, seeds, name=name, written=written).select("v")
+    return first.unionByName(beyond).distinct()
 
 
 def consumed_nodes(ws: Workspace, edges: DataFrame, links: DataFrame) -> DataFrame:
     """Warehouse nodes a report stands on: the linked ones and all they are built from."""
     upstream = edges.where(F.col("kind") == "dbt").select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
-    return reach_set(ws, upstream, links.select(F.col("src").alias("id")), "consumed")
+    return reach_set(ws, upstream, links.select(F.col("src").alias("v")), "consumed").withColumnRenamed("v", "id")
 
 
-def linked_only(ws: Workspace, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def linked_only(graph: NodeGraph, links: DataFrame) -> DataFrame:
     """Nodes on a path that crosses from the warehouse into the report."""
-    links = edges.where(F.col("kind") == "dbt_to_pbi")
-    up = reach_set(ws, arcs(edges, nodes, "up"), links.select(F.col("src").alias("id")), "linked-up")
-    down = reach_set(ws, arcs(edges, nodes, "down"), links.select(F.col("dst").alias("id")), "linked-down")
-    return up.unionByName(down).distinct()
+    sides = []
+    for direction, end in (("up", "src"), ("down", "dst")):
+        start = graph.numbers(links.select(F.col(end).alias("id")).distinct()).select(F.col("nid").alias("v"))
+        sides.append(reach_set(graph.ws, graph.steps(direction), start, f"linked-{direction}", written=True))
+    both = sides[0].unionByName(sides[1]).distinct().withColumnRenamed("v", "nid")
+    return graph.nodes.join(both, "nid", "left_semi").select("id")
+
+
+def downstream_of(graph: NodeGraph, starts: DataFrame, kind: str) -> DataFrame:
+    """id: nodes of a kind reached from any start (id), each once."""
+    start = graph.numbers(starts.select("id").distinct()).select(F.col("nid").alias("v"))
+    reached = reach_set(graph.ws, graph.arcs, start, "downstream", written=True).withColumnRenamed("v", "nid")
+    return graph.nodes.where(F.col("kind") == kind).join(reached, "nid", "left_semi").select("id")
 
 
-def walk_hops(ws: Workspace, nodes: DataFrame, edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
+def walk_hops(graph: NodeGraph, starts: DataFrame, hops: int) -> DataFrame:
     """id, direction, reached, hop: neighbours within ``hops``, the start excluded."""
-    seeds = starts.select(F.col("id").alias("origin"), F.col("id").alias("v"))
+    numbered = graph.numbers(starts.select("id"))
+    seeds = numbered.select(F.col("nid").alias("origin"), F.col("nid").alias("v"))
     out = []
     for direction in ("down", "up"):
-        found = closure(ws, arcs(edges, nodes, direction), seeds, max_hops=hops, name=f"hops-{direction}")
-        out.append(
-            pairs(found.where(F.col("origin") != F.col("v"))).select(
-                F.col("origin").alias("id"),
-                F.lit(direction).alias("direction"),
-                F.col("v").alias("reached"),
-                "hop",
-            )
+        found = closure(
+            graph.ws, graph.steps(direction), seeds, max_hops=hops, name=f"hops-{direction}", written=True
         )
-    return union_all(out)
+        out.append(pairs(found.where(F.col("origin") != F.col("v"))).withColumn("direction", F.lit(direction)))
+    reached = graph.nodes.select(F.col("id").alias("reached"), F.col("nid").alias("v"))
+    return (
+        union_all(out)
+        .join(numbered.select("id", F.col("nid").alias("origin")), "origin")
+        .join(reached, "v")
+        .select("id", "direction", "reached", "hop")
+    )
 
 
 def expand_preview(hops: DataFrame, shown: DataFrame) -> DataFrame:
@@ -71,51 +77,51 @@ def expand_preview(hops: DataFrame, shown: DataFrame) -> DataFrame:
     )
 
 
-def upstream_of(ws: Workspace, nodes: DataFrame, edges: DataFrame, seeds: DataFrame, name: str) -> DataFrame:
-    """origin, v, kind: every node upstream of the seeds (origin, v), the seed itself excluded."""
-    kinds = nodes.select(F.col("id").alias("dst"), "kind")
-    back = arcs(edges, nodes, "up").join(kinds, "dst")
-    return pairs(closure(ws, ws.save(back, f"{name}-arcs"), seeds, carry=("kind",), name=name), "kind")
-
-
+def _upstream_counts(graph: NodeGraph, seeds: DataFrame, name: str, **kinds: str) -> DataFrame:
+    """origin and a count per named kind of the distinct nodes upstream of the seeds (origin, v)."""
+    found = closure(graph.ws, graph.steps("up"), seeds, name=name, written=True)
+    up = found.select("origin", "v").distinct().where(F.col("origin") != F.col("v"))
+    wanted = graph.nodes.where(F.col("kind").isin(*kinds.values())).select(F.col("nid").alias("v"), "kind")
+    return (
+        up.join(wanted, "v")
+        .groupBy("origin")
+        .agg(*[F.count_if(F.col("kind") == kind).alias(label) for label, kind in kinds.items()])
+    )
 
 
-def upstream_depth(ws: Workspace, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def upstream_depth(graph: NodeGraph) -> DataFrame:
     """Per measure and table: how many models and sources lie upstream.
 
     Asked of the nodes a field belongs to.  A visual would walk up into its page
     and from there into everything else on the page; see ``page_summary``.
     """
-    owners = nodes.where(F.col("kind").isin("measure", "pbiTable"))
-    seeds = owners.select(F.col("id").alias("origin"), F.col("id").alias("v"))
-    up = upstream_of(ws, nodes, edges, seeds, "depth").where(F.col("origin") != F.col("v"))
-    counts = up.groupBy(F.col("origin").alias("id")).agg(
-        F.count_if(F.col("kind") == "model").alias("models"),
-        F.count_if(F.col("kind") == "source").alias("sources"),
+    owners = graph.nodes.where(F.col("kind").isin("measure", "pbiTable")).select("id", F.col("nid").alias("origin"))
+    counts = _upstream_counts(
+        graph, owners.select("origin", F.col("origin").alias("v")), "depth", models="model", sources="source"
     )
-    return owners.select("id").join(counts, "id", "left").na.fill(0, ["models", "sources"])
+    return owners.join(counts, "origin", "left").drop("origin").na.fill(0, ["models", "sources"])
 
 
-def page_summary(ws: Workspace, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def page_summary(graph: NodeGraph, edges: DataFrame) -> DataFrame:
     """Per page: its visuals and what all of them together stand on."""
-    on_page = edges.where(F.col("kind") == CONTAINMENT).select(
-        F.col("src").alias("origin"), F.col("dst").alias("v")
-    ).distinct()
-    visuals = on_page.groupBy("origin").agg(F.count(F.lit(1)).alias("visuals"))
-    up = upstream_of(ws, nodes, edges, on_page, "page")
-    counts = up.groupBy("origin").agg(
-        *[
-            F.count_if(F.col("kind") == kind).alias(name)
-            for name, kind in (("models", "model"), ("tables", "pbiTable"), ("measures", "measure"))
-        ]
+    number = graph.nodes.select("id", "nid")
+    on_page = graph.ws.save(
+        edges.where(F.col("kind") == CONTAINMENT)
+        .join(number.select(F.col("id").alias("src"), F.col("nid").alias("origin")), "src")
+        .join(number.select(F.col("id").alias("dst"), F.col("nid").alias("v")), "dst")
+        .select("origin", "v")
+        .distinct(),
+        "on-page",
     )
+    visuals = on_page.groupBy("origin").agg(F.count(F.lit(1)).alias("visuals"))
+    counts = _upstream_counts(graph, on_page, "page", models="model", tables="pbiTable", measures="measure")
     return (
-        nodes.where(F.col("kind") == "page")
-        .select(F.col("id").alias("origin"))
+        graph.nodes.where(F.col("kind") == "page")
+        .select("id", F.col("nid").alias("origin"))
         .join(visuals, "origin", "left")
         .join(counts, "origin", "left")
+        .drop("origin")
         .na.fill(0)
-        .withColumnRenamed("origin", "id")
     )
 
 
@@ -146,7 +152,7 @@ def trace(
     )
     picks = ws.save(at_column.unionByName(at_node), "picks")
     seeds = picks.select("origin", F.col("origin").alias("v"))
-    found = closure(ws, graph.moves, seeds, carry=("nid",), name=f"trace-{direction}")
+    found = closure(ws, graph.moves, seeds, carry=("nid",), name=f"trace-{direction}", written=True)
     held = edges.where(F.col("kind") == CONTAINMENT).select("src", "dst").distinct()
     number = graph.nodes.select("id", "nid")
     inside = (
@@ -211,7 +217,7 @@ def column_ancestry(ws: Workspace, edges: DataFrame) -> DataFrame:
         ).distinct(),
         "ancestry-steps",
     )
-    found = pairs(closure(ws, steps, name="ancestry"))
+    found = pairs(closure(ws, steps, name="ancestry", written=True))
     nearer = found.select("origin", F.col("v").alias("src"), "hop").unionByName(
         steps.select(F.col("src").alias("origin"), "src", F.lit(0).alias("hop")).distinct()
     )
@@ -238,7 +244,7 @@ def path_lineage_type(ws: Workspace, typed_edges: DataFrame) -> DataFrame:
         F.struct(F.col("dst").alias("id"), norm(F.col("tc")).alias("col")).alias("dst"),
         lineage_rank(F.col("lineage_type")).alias("w"),
     )
-    found = pairs(closure(ws, ws.save(steps, "typed-steps"), combine=F.greatest, name="lineage-type"))
+    found = pairs(closure(ws, steps, combine=F.greatest, name="lineage-type"))
     return found.select(
         F.col("origin.id").alias("src"),
         F.col("origin.col").alias("sc"),

@@ -141,7 +141,7 @@ _NP = "(select 5 * count(*) from supplier)"
 
 VIEWS["formulas"] = f"""
 select 'm'||p_partkey as name, 'T'||(p_partkey % {_NC}) as home, p_partkey as ord,
-case when p_size%3=0 then '/* [gone] '||p_type||' */ ' else '' end||'DIVIDE([m'||cast((p_partkey - p_partkey%3)/3 as bigint)||'], SUM(''T'||(p_partkey % {_NC})||'''[c'||(p_size%4)||' ])) + COUNTROWS(T'||((p_partkey*7) % {_NC})||') // [x]'
+case when p_size%3=0 then '/* [gone] '||p_type||' */ ' else '' end||'DIVIDE('||case when p_size%2=0 then '[m'||cast((p_partkey - p_partkey%3)/3 as bigint)||']' else '1' end||', SUM(''T'||(p_partkey % {_NC})||'''[c'||(p_size%4)||' ])) + COUNTROWS(T'||((p_partkey*7) % {_NC})||') // [x]'
 ||case when p_size%5=0 then chr(10)||'+ IF("[no]" = "a", [ m'||(p_partkey%10)||'], T'||((p_partkey*3) % {_NC})||'[c1]) + countrows( ''T'||(p_partkey % {_NC})||''' )' else '' end as expr from part
 """
 VIEWS["bi_tables"] = "select 'T'||c_custkey as tbl, c_custkey as ord from customer"

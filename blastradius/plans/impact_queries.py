@@ -164,11 +164,14 @@ def feeders(c: Context):
     )
 
 
+def graph(c: Context) -> W.NodeGraph:
+    return c.shared("node_graph", lambda c: W.NodeGraph(c.ws, c.nodes, c.edges))
+
+
 def visuals_of(c: Context, crossing):
     """Visuals downstream of any crossing node, each once."""
-    flow = c.edges.where(F.col("kind") != "page_to_visual")
-    reached = W.reach_set(c.ws, W.arcs(flow, c.nodes), crossing.select(F.col("source").alias("id")).distinct(), "visuals")
-    return reached.join(c.nodes.where(F.col("kind") == "visual").select("id"), "id", "left_semi")
+    flow = W.NodeGraph(c.ws, c.nodes, c.edges.where(F.col("kind") != "page_to_visual"))
+    return W.downstream_of(flow, crossing.select(F.col("source").alias("id")), "visual")
 
 
 @query("key_feeders", KEYS + " /*main*/ select side, id, col, key_table, key_column from fx_feeders")
@@ -320,7 +323,7 @@ fx_hops as (select id, direction, reached, min(hop) as hop from fx_h2 where reac
 
 def hops(c: Context):
     return c.shared(
-        "hops", lambda c: c.ws.save(W.walk_hops(c.ws, c.nodes, c.edges, c.nodes.where(F.col("kind") == "model"), 2), "hops")
+        "hops", lambda c: c.ws.save(W.walk_hops(graph(c), c.nodes.where(F.col("kind") == "model"), 2), "hops")
     )
 
 
@@ -416,7 +419,7 @@ select id from fx_up union select id from fx_dn""",
 )
 def linked_only(c: Context):
     """Nodes on a path that crosses into the report."""
-    return W.linked_only(c.ws, c.nodes, c.edges)
+    return W.linked_only(graph(c), links(c))
 
 
 @query(
@@ -429,7 +432,7 @@ from fx_nodes n left join fx_anc a on a.id = n.id and a.up <> n.id left join fx_
 )
 def upstream_depth(c: Context):
     """How many models and sources every field owner (measure or table) stands on."""
-    return W.upstream_depth(c.ws, c.nodes, c.edges)
+    return W.upstream_depth(graph(c))
 
 
 @query(
@@ -444,7 +447,7 @@ from fx_nodes n left join fx_pu p on p.page = n.id left join fx_nodes u on u.id
 )
 def page_summary(c: Context):
     """Visuals of every page and what they stand on together."""
-    return W.page_summary(c.ws, c.nodes, c.edges)
+    return W.page_summary(graph(c), c.edges)
 
 
 @query(

@@ -35,11 +35,11 @@ NOT_LISTED = ("macro", "operation")
 def manifest_entries(docs: DataFrame, *parts: str) -> DataFrame:
     """doc, node_id, node of the named parts of all manifests."""
     parsed = docs.select("doc", F.from_json("body", MANIFEST).alias("m"))
-    out = None
-    for part in parts:
-        one = parsed.select("doc", F.explode(f"m.{part}").alias("node_id", "node"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    none = F.array().cast(f"array<struct<key:string, value:{NODE}>>")
+    entries = F.concat(*[F.coalesce(F.map_entries(F.col("m")[part]), none) for part in parts])
+    return parsed.select("doc", F.explode(entries).alias("e")).select(
+        "doc", F.col("e.key").alias("node_id"), F.col("e.value").alias("node")
+    )
 
 
 def manifest_nodes(docs: DataFrame) -> DataFrame:
@@ -187,9 +187,8 @@ def visual_fields(definitions: DataFrame) -> DataFrame:
     The first reference gives the role; the first real rename among all references
     gives the label, so that order between them does not matter.
     """
-    uses = definitions.select("visual", F.posexplode(_all_uses(F.from_json("body", VISUAL))).alias("pos", "u")).select(
-        "visual", "pos", "u.*"
-    )
+    parsed = definitions.select("visual", F.from_json("body", VISUAL).alias("v"))
+    uses = parsed.select("visual", F.posexplode(_all_uses(F.col("v"))).alias("pos", "u")).select("visual", "pos", "u.*")
     complete = uses.where((F.col("tbl") != "") & (F.col("field") != ""))
     label = rename_of(F.col("shown"), F.col("field"))
     return complete.groupBy("visual", "type", "tbl", "field").agg(
