@@ -202,7 +202,7 @@ fx_label as (select *, case when trim(coalesce(shown, '')) <> '' and lower(trim(
 
 @query(
     "visual_fields",
-    USES + """ /*main*/ select visual, type, tbl, field, arg_min(role, pos) as role, arg_min(label, pos) filter (where label is not null) as display, count(distinct label) as labels
+    USES + """ /*main*/ select visual, type, tbl, field, arg_min(role, pos) as role, arg_min(label, pos) filter (where label is not null) as display, count(label) as renames
 from fx_label group by 1, 2, 3, 4""",
 )
 def visual_fields(c: Context):

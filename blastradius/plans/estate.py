@@ -280,6 +280,20 @@ union all select 'v'||o_orderkey, 'visual', null, null from orders
 # Views that stand for stored input tables: written once per data folder.
 WRITTEN = {"edges", "nodes", "cols"}
 
+# Views of documents and other long text, with the column that tells their rows apart.
+TEXTS = {
+    "manifest_json": "doc",
+    "catalog_json": "doc",
+    "visual_json": "visual",
+    "page_json": "page_id",
+    "mapping_csv": "doc",
+    "m_queries": "tbl",
+    "formulas": "name",
+    "parameter_text": "id",
+    "sql_text": "id",
+    "model_text": "doc",
+}
+
 
 def spark_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """``text`` over the parquet files of ``sf_dir``."""

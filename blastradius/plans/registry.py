@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from blastradius.plans import estate
-from blastradius.workspace import Workspace
+from blastradius.workspace import Workspace, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,7 +33,11 @@ class Context:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         if name not in self._views:
             view = self.sql(estate.VIEWS[name])
-            self._views[name] = self.ws.save(view, name) if name in estate.WRITTEN else view
+            if name in estate.WRITTEN:
+                view = self.ws.save(view, name)
+            elif name in estate.TEXTS:
+                view = spread(view, estate.TEXTS[name])
+            self._views[name] = view
         return self._views[name]
 
     def sql(self, text: str) -> DataFrame:

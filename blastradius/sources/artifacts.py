@@ -194,7 +194,7 @@ def visual_fields(definitions: DataFrame) -> DataFrame:
     return complete.groupBy("visual", "type", "tbl", "field").agg(
         F.min_by("role", "pos").alias("role"),
         F.min_by(label, F.when(label.isNotNull(), F.col("pos"))).alias("display"),
-        F.countDistinct(label).alias("labels"),
+        F.count(label).alias("renames"),
     )
 
 

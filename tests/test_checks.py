@@ -34,3 +34,5 @@ def test_query(spark, duck, name):
     want = ordered([d[0] for d in cur.description], cur.fetchall())
     assert got == want
     assert got[1]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
