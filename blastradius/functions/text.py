@@ -65,6 +65,7 @@ TABLE_FUNCTIONS = (
     "GENERATESERIES NATURALLEFTOUTERJOIN NATURALINNERJOIN CROSSJOIN UNION INTERSECT EXCEPT TREATAS "
     "LOOKUPVALUE RELATED RANKX SAMPLE GROUPBY DATATABLE WINDOW OFFSET INDEX"
 ).split()
+# Such a call up to the end of its first argument.
 TABLE_CALL = r"(?i)(?:" + "|".join(TABLE_FUNCTIONS) + r")\s*\(\s*(?:'([^']+)'|(\w+))\s*[,)]"
 
 
@@ -104,6 +105,7 @@ def parameter_rows(body: Column) -> Column:
 
 # --- Query steps --------------------------------------------------------------------
 
+# Navigation steps by schema and item in either order, and by name.
 SCHEMA_ITEM = r'(?i)\{\s*\[\s*Schema\s*=\s*"([^"]+)"\s*,\s*Item\s*=\s*"([^"]+)"\s*\]\s*\}\s*\[Data\]'
 ITEM_SCHEMA = r'(?i)\{\s*\[\s*Item\s*=\s*"([^"]+)"\s*,\s*Schema\s*=\s*"([^"]+)"\s*\]\s*\}\s*\[Data\]'
 NAME_STEP = r'(?i)\{\s*\[\s*Name\s*=\s*"([^"]+)"\s*(?:,[^\]]*)?\]\s*\}\s*\[Data\]'
@@ -168,6 +170,7 @@ def final_projection(m: Column) -> Column:
 _FLAT = r'[^()"]|"(?:[^"]|"")*+"'
 _NESTED = rf"(?:{_FLAT}|\((?:{_FLAT}|\((?:{_FLAT}|\((?:{_FLAT})*+\))*+\))*+\))*+"
 ADD_COLUMN = rf'Table\.AddColumn\s*\(\s*(?:[^,("]|\({_NESTED}\))+,\s*"((?:[^"\\]|\\.)*)"\s*,({_NESTED})\)'
+# A field read by plain or quoted name.
 FIELD_READ = r'\[\s*(?:#"((?:[^"]|"")*)"|([A-Za-z_][A-Za-z0-9_ .]*?))\s*\]'
 
 
@@ -191,6 +194,7 @@ def added_columns(m: Column) -> Column:
     )
 
 
+# Merge with its keys, append with its inputs.
 NESTED_JOIN = r"Table\.NestedJoin\s*\(\s*([^,\n]+),\s*\{([^}]*)\}\s*,\s*([^,\n]+),\s*\{([^}]*)\}"
 COMBINE = r"Table\.Combine\s*\(\s*\{([^}]+)\}"
 
@@ -228,6 +232,7 @@ def merge_keys(m: Column) -> Column:
 
 # Words that follow FROM or JOIN without naming a table.
 NOT_A_TABLE = ("SELECT", "WHERE", "ON", "AS", "SET", "VALUES", "INTO", "UPDATE", "DELETE")
+# A table after FROM or JOIN, with an optional schema.
 SQL_TABLE = r'(?i)\b(?:FROM|JOIN)\s+([`"\[]?[\w$]+[`"\]]?\s*\.\s*)?([`"\[]?[\w$]+[`"\]]?)'
 
 
@@ -345,6 +350,7 @@ def parameter_names(m: Column) -> Column:
     return F.array_distinct(all_of(m, r'#"([^"]+)"'))
 
 
+# A first step that is a bare name, not a call.
 FIRST_STEP = (
     r'(?i)^\s*let\s+(?:#"[^"]+"|[A-Za-z_][A-Za-z0-9_ ]*)\s*=\s*'
     r'(?:#"([^"]+)"|([A-Za-z_][A-Za-z0-9_]*))\s*(?![ \t]*\()'
