@@ -271,10 +271,11 @@ def modifies_measure(uses: DataFrame, calc_items: DataFrame, resolved_items: Dat
 
 def field_usage(uses: DataFrame) -> DataFrame:
     """Per field: its uses, and the visuals and pages they are on."""
-    return uses.groupBy("type", "tbl", "field").agg(
-        F.count(F.lit(1)).alias("uses"),
-        F.countDistinct("page", "visual").alias("visuals"),
-        F.countDistinct("page").alias("pages"),
+    field = ["type", "tbl", "field"]
+    per_visual = uses.groupBy(*field, "page", "visual").agg(F.count(F.lit(1)).alias("uses"))
+    per_page = per_visual.groupBy(*field, "page").agg(F.sum("uses").alias("uses"), F.count(F.lit(1)).alias("visuals"))
+    return per_page.groupBy(*field).agg(
+        F.sum("uses").alias("uses"), F.sum("visuals").alias("visuals"), F.count(F.lit(1)).alias("pages")
     )
 
 
