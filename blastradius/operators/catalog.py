@@ -516,6 +516,22 @@ def visual_lineage(
     ).distinct()
 
 
+def field_lineage(f: Formulas, sources: DataFrame) -> DataFrame:
+    """name, kind, item: tables a measure stands on (home, refs, homes of its chain) and their sources."""
+    tables = union_all(
+        [
+            f.formulas.select("name", F.col("home").alias("tbl")),
+            f.columns.select("name", "tbl"),
+            f.tables.select("name", F.col("ref_table").alias("tbl")),
+            f.chain().select("name", F.col("measure_home").alias("tbl")),
+        ]
+    ).distinct()
+    opened = tables.join(sources.select("tbl", "source_key").distinct(), "tbl").select("name", "source_key").distinct()
+    return tables.select("name", F.lit("table").alias("kind"), F.col("tbl").alias("item")).unionByName(
+        opened.select("name", F.lit("source").alias("kind"), F.col("source_key").alias("item"))
+    )
+
+
 def expression_consumers(ws: Workspace, queries: DataFrame, shared: DataFrame) -> DataFrame:
     """name, tbl: tables whose query reaches a shared query by name, through others too."""
     names = shared.select("name").distinct()

@@ -163,6 +163,7 @@ class StateGraph:
         up: bool = False,
     ):
         self.ws = ws
+        self._walked: DataFrame | None = None
         near, far = ("dst", "src") if up else ("src", "dst")
         ncol, fcol = ("tc", "sc") if up else ("sc", "tc")
         flow = edges.where(F.coalesce(F.col("kind"), F.lit("")) != CONTAINMENT).select(
@@ -234,15 +235,21 @@ class StateGraph:
         )
         return whole.unionByName(declared)
 
+    def walked(self) -> DataFrame:
+        """The closure over the nodes that lead on, computed once."""
+        if self._walked is None:
+            inner = self.moves.where(~F.col("sink"))
+            self._walked = closure(self.ws, inner, carry=("nid", "kind"), name="impact", written=True)
+        return self._walked
+
     def reached(self) -> DataFrame:
         """origin, nid, kind, w for every node downstream of every position.
 
         Nodes without a way out are not walked through: they are counted by one
         join at the end and never enter the loop or its tables.
         """
-        inner = self.moves.where(~F.col("sink"))
         last = self.moves.where(F.col("sink"))
-        walked = closure(self.ws, inner, carry=("nid", "kind"), name="impact", written=True)
+        walked = self.walked()
         beyond = walked.select("origin", F.col("v").alias("src"), "w").join(
             last.select("src", "nid", "kind", F.col("w").alias("ew")), "src"
         )

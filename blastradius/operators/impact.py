@@ -18,12 +18,31 @@ COUNTS = {
 }
 
 
-def impact(ws: Workspace, nodes: DataFrame, edges: DataFrame, columns: DataFrame) -> DataFrame:
+def reached_nodes(graph: StateGraph, columns: DataFrame, kinds: list[str]) -> DataFrame:
+    """id, col, reached, exact: nodes of some kinds downstream of every node and declared column.
+
+    ``exact`` holds where a path names the column all along; a node's own reach is
+    always exact.
+    """
+    codes = [KIND_CODES[k] for k in kinds]
+    found = (
+        graph.reached().where(F.col("kind").isin(*codes)).groupBy("origin", "nid").agg(F.max("w").alias("w"))
+    )
+    return (
+        found.join(graph.scopes(columns), "origin")
+        .join(graph.nodes.select(F.col("id").alias("reached"), "nid"), "nid")
+        .select("id", "col", "reached", (F.col("col").isNull() | (F.col("w") == 1)).alias("exact"))
+    )
+
+
+def impact(
+    ws: Workspace, nodes: DataFrame, edges: DataFrame, columns: DataFrame, graph: StateGraph | None = None
+) -> DataFrame:
     """id, col (null for the node itself), counts, visuals_exact, band.
 
     One row per node and per declared column, zero rows included.
     """
-    graph = StateGraph(ws, nodes, edges, columns)
+    graph = graph or StateGraph(ws, nodes, edges, columns)
     per_node = graph.reached().groupBy("origin", "nid").agg(F.max("w").alias("w"), F.max("kind").alias("kind"))
     counts = per_node.groupBy("origin").agg(
         *[F.count_if(F.col("kind") == KIND_CODES[k]).alias(n) for n, k in COUNTS.items()],

@@ -449,6 +449,18 @@ def visual_lineage(c: Context):
     return K.visual_lineage(formulas(c), c.field_use, c.calc_items, items(c), params, sources(c))
 
 
+@query(
+    "field_lineage",
+    "recursive" + CONSUMERS + """,
+fx_flt as (select name, home as tbl from fx_formulas union select name, tbl from fx_own
+  union select c.name, h.measure_home from fx_chain c join fx_homes h on h.measure = c.measure) /*main*/
+select name, 'table' as kind, tbl as item from fx_flt union select l.name, 'source', s.source_key from fx_flt l join fx_st s on s.tbl = l.tbl""",
+)
+def field_lineage(c: Context):
+    """Tables and sources every measure stands on."""
+    return K.field_lineage(formulas(c), sources(c))
+
+
 @query(
     "expression_consumers",
     r"""recursive

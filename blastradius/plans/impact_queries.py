@@ -8,6 +8,7 @@ from blastradius.functions import norm as N
 from blastradius.operators import diagnostics as D
 from blastradius.operators import impact as I
 from blastradius.operators import walks as W
+from blastradius.operators.closure import StateGraph
 from blastradius.plans.registry import Context, query
 
 # Walk of the checks: every node and every declared column as an origin.
@@ -33,8 +34,23 @@ fx_counts as (select origin, ocol,
 BAND = "case when visuals >= 10 then 'high' when visuals >= 3 then 'medium' when visuals >= 1 then 'low' else 'none' end"
 
 
+def states(c: Context) -> StateGraph:
+    return c.shared("state_graph", lambda c: StateGraph(c.ws, c.nodes, c.edges, c.cols))
+
+
 def impact(c: Context):
-    return c.shared("impact", lambda c: I.impact(c.ws, c.nodes, c.edges, c.cols))
+    return c.shared("impact", lambda c: I.impact(c.ws, c.nodes, c.edges, c.cols, states(c)))
+
+
+@query(
+    "closure",
+    WALK + """ /*main*/ select s.id, s.col, w.id as reached, s.col is null or bool_or(w.ex) as exact
+from (select id, cast(null as varchar) as col from fx_nodes union all select id, col from fx_cols) s
+join fx_walk w on w.origin = s.id and w.ocol is not distinct from lower(s.col) where w.kind in ('model', 'pbiTable', 'measure') group by 1, 2, 3""",
+)
+def closure(c: Context):
+    """Models, tables and measures downstream of every node and column, and how exactly."""
+    return I.reached_nodes(states(c), c.cols, ["model", "pbiTable", "measure"])
 
 
 @query(
