@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from blastradius.llm import exact_dedup, fingerprint, language, license, packing, pieces, pii, quality, warc
+from blastradius.llm import exact_dedup, fingerprint, jaccard, language, license, packing, pieces, pii, quality, warc
 from blastradius.llm.common import table, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Query] = {
         op3_warc,
         op4_language_id,
         op5_best_fit_packing,
+        op6_ngram_jaccard_join,
         op7_pii,
         op8_quality_classifier,
         op9_exact_dedup,
