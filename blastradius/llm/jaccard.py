@@ -10,19 +10,21 @@ add up to the distance, and so two linked sets are at distance 0 in some class.
 region is the documents that have one part in common; sets of up to 10 / 9 times the
 size meet as each size class is also dealt with its neighbour's classes.
 
-Inside the regions the triangle inequality does work, as all are near one another:
+Parts in common make regions: a region is what they connect.  All its members are
+near one another, so inside it the triangle inequality does work:
 
-* each region has a pivot, and every member's distance to it is taken; links found
-  so are joined to components;
-* a region that is one component is finished.  Any other is joined recursively:
-  pivots make Voronoi cells, a member is also copied to each cell whose pivot is at
-  most twice the threshold farther than its own, cells of one component are dropped,
-  and what doesn't get smaller is compared within the triangle inequality's window.
-  Large regions are first cut into blocks that meet one another in tasks of bounded size.
+* a small region is joined recursively in one task: pivots make Voronoi cells, a
+  member is also copied to each cell whose pivot is at most twice the threshold
+  farther than its own, cells of one component are dropped, and what doesn't get
+  smaller is compared within the inequality's window;
+* a large region is first compared with a few pivots, chunk by chunk.  What links to
+  them makes components; then blocks of the documents outside the largest component
+  meet one another and the blocks of that component, each meeting a task.
 
 Equal sets are one point from the start, and only links between components are made,
 so a group of thousands of near copies never becomes all its pairs.  No link is lost:
-each pair of sets that share a part is either in one component or compared.
+each pair of sets of a region is in one component, or compared, or ruled out by the
+inequality.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blastradius.llm.common import partitions, ship, workspace
@@ -41,10 +43,13 @@ from blastradius.llm.components import components
 WORDS = 3
 #: Sets link when SHARE[1] * intersection >= SHARE[0] * union.
 SHARE = (90, 100)
-#: Shingles of one block of a region; two blocks meet in a task.
-BLOCK = 400_000
+#: Weight (shingles and ``DOCUMENT`` for each set) of a region that one task joins, and of a block of a larger one;
+#: a region of very many blocks has fewer and larger ones, enough for all tasks of the cluster.
+BLOCK, DOCUMENT = 25_000, 100
+PIVOTS = 8
 _MEMORY = 400_000
 _SMALL, _CELLS = 24, 4
+DEALS = 3
 
 
 class _Hashes(dict):
@@ -96,17 +101,26 @@ _size_edges = [1, 2, 3, 4]
 
 
 def part_keys(s: np.ndarray) -> np.ndarray:
-    """Hash of each part of a set, for its own size class and the one before."""
+    """Hash of each part of a set, for its own size class and the one before.
+
+    Parts that are empty are alike in all sets.  A set that has one is dealt anew
+    by another hash, up to ``DEALS`` times; only the last deal's empty parts count.
+    If two linked sets have only empty parts in common, both are dealt anew.
+    """
     out = []
     j, own, before, fewer = size_class(len(s))
-    spread = _mixed(s)
     for number, k in ((j, own), (before, fewer)):
-        if k:
+        for deal in range(DEALS if k else 0):
+            h = _mixed(s + np.uint64(deal))
             sums = np.zeros(k, np.uint64)
-            part = (s % np.uint64(k)).astype(np.int64)
-            np.add.at(sums, part, spread)
-            # Empty parts are alike as well, and count.
-            out.append(_mixed(_mixed(sums + np.uint64(number)) + np.arange(k, dtype=np.uint64)))
+            part = (h % np.uint64(k)).astype(np.int64)
+            np.add.at(sums, part, h)
+            filled = np.bincount(part, minlength=k) > 0
+            key = _mixed(_mixed(sums + np.uint64(number * DEALS + deal)) + np.arange(k, dtype=np.uint64))
+            if filled.all() or deal == DEALS - 1:
+                out.append(key)
+                break
+            out.append(key[filled])
     return np.concatenate(out).view(np.int64)
 
 
@@ -227,56 +241,68 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
     return rows.mapInArrow(run, "point long, n long, s array<long>").dropDuplicates(["point"])
 
 
-def _against_pivots(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among (pivot, point) pairs: rows stream past the set of their pivot, which comes first."""
+def _region(table: pa.Table) -> tuple[_Region, list[int]]:
+    sets = [s.values.to_numpy(zero_copy_only=False).view(np.uint64) for s in table.column("s").combine_chunks()]
+    return _Region(sets, table.column("component").to_pylist()), table.column("point").to_pylist()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, own = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            a, b = [], []
-            for pivot, salt, point, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4), strict=True):
-                values = s.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                if point == pivot:
-                    current, own = (pivot, salt), values
-                elif current == (pivot, salt):
-                    inter = len(np.intersect1d(own, values, assume_unique=True))
-                    if _links(inter, len(own), len(values)):
-                        a.append(pivot)
-                        b.append(point)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    n = partitions(pairs.sparkSession)
-    salts = pairs.groupBy("pivot").agg((F.count(F.lit(1)) / 256).cast("int").alias("last"))
-    members = pairs.join(salts, "pivot").select("pivot", F.pmod("point", F.col("last") + 1).cast("int").alias("salt"), "point")
-    own = salts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("salt"), F.col("pivot").alias("point"))
-    rows = members.unionByName(own).join(sets, "point").select("pivot", "salt", "point", (F.col("point") != F.col("pivot")).alias("member"), "s")
-    return rows.repartition(n, "pivot", "salt").sortWithinPartitions("pivot", "salt", "member").mapInArrow(run, "a long, b long")
-
-
-def _inside(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between components of a group. groups: (g, point, n, component)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        ids = table.column("point").to_pylist()
-        sets = [s.values.to_numpy(zero_copy_only=False).view(np.uint64) for s in table.column("s").combine_chunks()]
-        region = _Region(sets, table.column("component").to_pylist())
-        region.join(np.arange(len(ids)))
-        return pa.table({"a": pa.array([ids[i] for i, _ in region.found], pa.int64()), "b": pa.array([ids[j] for _, j in region.found], pa.int64())})
-
-    share = groups.groupBy("g", "component").agg(F.sum("n").alias("w"))
-    sizes = share.groupBy("g").agg(F.max_by("component", "w").alias("main"), F.max("w").alias("in_main"), F.sum("w").alias("all"))
-    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
-    sizes = sizes.select("g", "main", blocks(F.col("in_main")).alias("nc"), F.greatest(F.lit(1), blocks(F.col("all") - F.col("in_main"))).alias("nr"))
-    rows = groups.join(sizes, "g").withColumn("rest", F.col("component") != F.col("main"))
+
+def _found(region: _Region, ids: list[int]) -> pa.Table:
+    return pa.table({"a": pa.array([ids[i] for i, _ in region.found], pa.int64()), "b": pa.array([ids[j] for _, j in region.found], pa.int64())})
+
+
+def _joined(table: pa.Table) -> pa.Table:
+    """Links between the components of a task's members."""
+    region, ids = _region(table)
+    region.join(np.arange(len(ids)))
+    return _found(region, ids)
+
+
+def _to_pivots(table: pa.Table) -> pa.Table:
+    """Links between a task's pivots and its members."""
+    region, ids = _region(table)
+    for x in np.flatnonzero(table.column("pivot").to_numpy(zero_copy_only=False)):
+        region.compare(int(x), np.arange(len(ids)))
+    return _found(region, ids)
+
+
+def _weight() -> Column:
+    return F.sum(F.col("n") + DOCUMENT)
+
+
+def _pivot_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links to a few pivots of each region. members: (region, point, n)."""
+    tasks = 4 * partitions(members.sparkSession)
+    size = F.greatest(F.lit(BLOCK), F.col("w") / tasks)
+    picked = F.array(*[F.min_by("point", F.xxhash64("point", F.lit(i))) for i in range(PIVOTS)])
+    regions = members.groupBy("region").agg(_weight().alias("w"), picked.alias("picked")).select("region", "picked", F.ceil(F.col("w") / size).cast("int").alias("chunks"))
+    rows = members.join(regions, "region").select("region", "point", F.pmod(F.xxhash64("point"), "chunks").cast("int").alias("task"), F.lit(False).alias("pivot"))
+    own = regions.select("region", F.explode(F.array_distinct("picked")).alias("point"), "chunks")
+    own = own.select("region", "point", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("task"), F.lit(True).alias("pivot"))
+    both = rows.unionByName(own).groupBy("region", "point", "task").agg(F.max("pivot").alias("pivot"))
+    dealt = both.join(sets, "point").withColumn("component", F.col("point"))
+    return dealt.groupBy("region", "task").applyInArrow(_to_pivots, "a long, b long")
+
+
+def _block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components of a region. members: (region, point, n, component)."""
+    side = int(np.ceil(np.sqrt(2 * partitions(members.sparkSession))))
+    share = members.groupBy("region", "component").agg(_weight().alias("w"))
+    sizes = share.groupBy("region").agg(F.max_by("component", "w").alias("main"), F.max("w").alias("in_main"), F.sum("w").alias("w"))
+    size = F.greatest(F.lit(BLOCK), F.col("w") / side)
+    blocks = lambda w: F.greatest(F.lit(1), F.ceil(w / size)).cast("int")
+    sizes = sizes.select("region", "main", blocks(F.col("in_main")).alias("nc"), blocks(F.col("w") - F.col("in_main")).alias("nr"))
+    rows = members.join(sizes, "region").withColumn("rest", F.col("component") != F.col("main"))
     rows = rows.withColumn("k", F.pmod(F.xxhash64("point"), F.when(F.col("rest"), F.col("nr")).otherwise(F.col("nc"))).cast("int"))
     # A block of the rest meets every block of the rest and of the main component.
-    other = lambda kind, n, tell: F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.concat_ws(":", F.lit(kind), tell(o)))
-    both = lambda o: F.concat_ws(":", F.least("k", o).cast("string"), F.greatest("k", o).cast("string"))
-    mine = lambda o: F.concat_ws(":", F.col("k").cast("string"), o.cast("string"))
-    theirs = lambda o: F.concat_ws(":", o.cast("string"), F.col("k").cast("string"))
-    tasks = F.when(F.col("rest"), F.concat(F.when(F.col("nr") > 1, other("r", F.col("nr"), both)).otherwise(F.array().cast("array<string>")), other("c", F.col("nc"), mine))).otherwise(other("c", F.col("nr"), theirs))
-    dealt = rows.select("g", F.explode(F.array_distinct(tasks)).alias("task"), "point", "component").join(sets, "point")
-    return dealt.groupBy("g", "task").applyInArrow(run, "a long, b long")
+    each = lambda n, kind, name: F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda o: F.concat_ws(":", F.lit(kind), *name(o)))
+    text = lambda c: c.cast("string")
+    among = each("nr", "r", lambda o: (text(F.least("k", o)), text(F.greatest("k", o))))
+    to_main = each("nc", "c", lambda o: (text(F.col("k")), text(o)))
+    to_rest = each("nr", "c", lambda o: (text(o), text(F.col("k"))))
+    none = F.array().cast("array<string>")
+    tasks = F.when(F.col("rest"), F.concat(F.when(F.col("nr") > 1, among).otherwise(none), to_main)).otherwise(to_rest)
+    dealt = rows.select("region", F.explode(F.array_distinct(tasks)).alias("task"), "point", "component").join(sets, "point")
+    return dealt.groupBy("region", "task").applyInArrow(_joined, "a long, b long")
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,29 +316,24 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     ship(docs.sparkSession)
     ws = workspace(docs.sparkSession)
     base = ws.save(_points(docs, id_col, text_col), "points")
-    key = Window.partitionBy("key")
-    keyed = base.select("point", "n", F.explode("parts").alias("key"))
-    shared = (
-        keyed.withColumn("before", F.lag("point").over(key.orderBy("point")))
-        .withColumn("pivot", F.first("point").over(key.orderBy("point")))
-        .filter("before is null or before <> point")
-        .withColumn("g", F.bit_xor(F.xxhash64("point")).over(key))
-        .withColumn("size", F.count(F.lit(1)).over(key))
-        .filter("size > 1")
-    )
-    # Regions with the same members are one.
-    members = ws.save(shared.groupBy("g", "size", "point", "n").agg(F.min("pivot").alias("pivot")), "regions")
-    pairs = ws.save(members.filter("pivot <> point").select("pivot", "point").distinct(), "pairs")
-    points = members.select("point").distinct()
-    wanted = base.select("doc_id", "point").join(points, "point", "left_semi").groupBy("point").agg(F.min("doc_id").alias("doc_id"))
-    sets = ws.save(_sets(docs, wanted, id_col, text_col), "sets")
-    first = ws.save(_against_pivots(pairs, sets.select("point", "s")), "links")
-    found = ws.save(components(first, ws), "components")
-    named = members.filter("size > 2").join(found, members["point"] == found["node"], "left").select("g", "point", "n", F.coalesce("component", "point").alias("component"))
-    open_ = named.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("g")
-    groups = ws.save(named.join(open_, "g", "left_semi"), "open-regions")
-    more = _inside(groups, sets.select("point", "s"))
-    final = ws.save(components(first.unionByName(more), ws), "components")
+    key = Window.partitionBy("key").orderBy("point")
+    keyed = base.select("point", F.explode("parts").alias("key"))
+    chains = keyed.select("point", F.lag("point").over(key).alias("before")).filter("before <> point")
+    regions = components(chains.select(F.col("point").alias("a"), F.col("before").alias("b")), ws)
+    ids = base.filter("point is not null").groupBy("point").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    members = ws.save(regions.join(ids, regions["node"] == ids["point"]).select("point", "doc_id", "n", F.col("component").alias("region")), "members")
+    sets = ws.save(_sets(docs, members.select("doc_id", "point"), id_col, text_col), "sets").select("point", "s")
+    weights = members.groupBy("region").agg(_weight().alias("w"))
+    small = members.join(weights.filter(F.col("w") <= BLOCK), "region", "left_semi")
+    large = members.join(weights.filter(F.col("w") > BLOCK), "region", "left_semi").select("region", "point", "n")
+    alone = small.select("region", "point", F.col("point").alias("component")).join(sets, "point").groupBy("region").applyInArrow(_joined, "a long, b long")
+    links = ws.save(alone, "links")
+    near = ws.save(_pivot_links(large, sets), "pivot-links")
+    found = components(near, ws)
+    named = ws.save(large.join(found, large["point"] == found["node"], "left").select("region", "point", "n", F.coalesce("component", "point").alias("component")), "named")
+    open_ = named.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("region")
+    more = _block_links(named.join(open_, "region", "left_semi"), sets)
+    final = ws.save(components(links.unionByName(near).unionByName(more), ws), "components")
     rows = base.select("doc_id", "n", "point").join(final, base["point"] == final["node"], "left").select("doc_id", "n", F.coalesce("component", "point").alias("c"))
     least = rows.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
     out = rows.join(least, "c", "left")
