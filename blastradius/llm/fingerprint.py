@@ -20,10 +20,13 @@ from pyspark.sql import functions as F
 
 from blastradius.llm.common import cut_points, drawn, partitions, position, whole
 
-LANES, SKETCH, BLOCK = 8, 64, 24
+LANES, SKETCH, BLOCK = 8, 64, 32
 FIRST_ID = -(1 << 63)
 _LOW = (1 << 32) - 1
-_PAIR = 1 | 1 << 32
+_QUAD = 1 | 1 << 16 | 1 << 32 | 1 << 48
+_SUMS = SKETCH // 4
+#: Units that are summed before counters are widened.
+CHUNK = 16_384
 
 
 def _units(text: Column) -> Column:
@@ -32,26 +35,35 @@ def _units(text: Column) -> Column:
     return F.concat(lines, F.regexp_extract_all(text, F.lit(r"[^\n.!?]{1,%d}" % BLOCK), F.lit(0)))
 
 
-def _sums(unit: str) -> list[Column]:
-    """Lane sums over the units of one document, two of the sketch's lanes to a long."""
-    u = F.col(unit)
-    paragraph = u.endswith("\n")
-    text = paragraph & (u != "\n")
-    wide = []
-    for j in range(LANES // 2):
-        h = F.when(text, F.xxhash64(F.lit(j), u))
-        wide += [F.sum(h.bitwiseAND(_LOW)), F.sum(F.shiftrightunsigned(h, 32))]
-    bits = F.when(~paragraph, F.xxhash64(u))
-    votes = [F.sum(F.shiftrightunsigned(bits, j).bitwiseAND(F.lit(_PAIR))) for j in range(SKETCH // 2)]
-    return [F.count(F.when(~paragraph, 1)), *wide, *votes]
+def _hashed(unit: Column) -> list[Column]:
+    """What the sums read: of a paragraph its lanes, of a block its votes, four counters of 16 bits to a long; and which of the two it is."""
+    paragraph, h = F.col("_p"), F.col("_h")
+    out = []
+    for j in range(_SUMS):
+        votes = F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_QUAD))
+        if j < LANES:
+            lane = F.xxhash64(F.lit(j // 2), unit)
+            lane = F.shiftrightunsigned(lane, 32) if j % 2 else lane.bitwiseAND(F.lit(_LOW))
+            votes = F.when(paragraph, F.when(unit == "\n", F.lit(0).cast("long")).otherwise(lane)).otherwise(votes)
+        else:
+            votes = F.when(paragraph, F.lit(0).cast("long")).otherwise(votes)
+        out.append(votes.alias(f"_x{j}"))
+    return out
 
 
-def _lanes(sums: list[str]) -> tuple[Column, Column, Column]:
-    """(number of blocks, lanes, sketch) from the sums."""
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    wide = F.array(*[zero(c).bitwiseAND(_LOW) for c in sums[1 : 1 + LANES]])
-    pairs = [zero(c) for c in sums[1 + LANES :]]
-    return zero(sums[0]), wide, F.array(*[f(p) for f in (lambda p: p.bitwiseAND(_LOW), lambda p: F.shiftrightunsigned(p, 32)) for p in pairs])
+def _summed(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, blocks, lanes, sketch) of texts.
+
+    Units are summed by chunks that no counter of 16 bits outgrows, then chunks are.
+    The input is taken to be dealt by the first key, so nothing is shuffled if it is.
+    """
+    units = texts.select(*keys, F.posexplode(_units(F.col(text))).alias("_at", "_u"))
+    units = units.select(*keys, F.floor(F.col("_at") / CHUNK).cast("int").alias("_chunk"), "_u", F.col("_u").endswith("\n").alias("_p"), F.xxhash64("_u").alias("_h"))
+    rows = units.select(*keys, "_chunk", "_p", *_hashed(F.col("_u"))).groupBy(*keys, "_chunk", "_p").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"_x{j}").alias(f"_x{j}") for j in range(_SUMS)])
+    lanes = [F.sum(F.when(F.col("_p"), F.col(f"_x{j}")).otherwise(0)).bitwiseAND(F.lit(_LOW)) for j in range(LANES)]
+    votes = [F.sum(F.when(F.col("_p"), 0).otherwise(F.shiftrightunsigned(f"_x{j}", 16 * q).bitwiseAND(F.lit(0xFFFF)))) for q in range(4) for j in range(_SUMS)]
+    blocks = F.sum(F.when(F.col("_p"), 0).otherwise(F.col("_n")))
+    return rows.groupBy(*keys).agg(blocks.alias("blocks"), F.array(*lanes).alias("lanes"), F.array(*votes).alias("sketch"))
 
 
 def plus(a: Column, b: Column) -> Column:
@@ -84,11 +96,8 @@ def likeness(a: Column, b: Column) -> Column:
 def lanes_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``blocks``, ``lanes`` and ``sketch``, for incremental use with ``plus`` and ``minus``."""
     rows = docs.select(F.monotonically_increasing_id().alias("_r"), F.struct("*").alias("_row"))
-    units = rows.select("_r", F.explode(_units(whole(F.col(f"_row.{text_col}")))).alias("_u"))
-    sums = [c.alias(f"_s{i}") for i, c in enumerate(_sums("_u"))]
-    found = units.groupBy("_r").agg(*sums)
-    blocks, lanes, sketch = _lanes([f"_s{i}" for i in range(len(sums))])
-    return rows.join(found.select("_r", blocks.alias("blocks"), lanes.alias("lanes"), sketch.alias("sketch")), "_r").select("_row.*", "blocks", "lanes", "sketch")
+    found = _summed(rows.select("_r", whole(F.col(f"_row.{text_col}")).alias("_t")), ["_r"], "_t")
+    return rows.join(found, "_r").select("_row.*", "blocks", "lanes", "sketch")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,13 +139,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .withColumn("n_chars", size.cast("long"))
         .withColumn("_e", F.concat(F.expr("substring(_t, 1, cast(n_chars - floor(n_chars / 2) as int))"), F.substring("_next", F.lit(1), half)))
     )
-    marked = lambda c, v: F.transform(_units(F.col(c)), lambda u: F.struct(F.lit(v).alias("v"), u.alias("u")))
-    both = F.concat(marked("_t", 0), marked("_e", 1))
     keys = ["_b", "_r", "_guest", "doc_id", "n_chars", "edited_sha256", "_v"]
-    units = texts.select("_b", "_r", "_guest", "doc_id", "n_chars", F.sha2("_e", 256).alias("edited_sha256"), F.explode(both).alias("_x")).select(*keys[:-1], F.col("_x.v").alias("_v"), F.col("_x.u").alias("_u"))
-    sums = [c.alias(f"_s{i}") for i, c in enumerate(_sums("_u"))]
-    blocks, lanes, sketch = _lanes([f"_s{i}" for i in range(len(sums))])
-    marks = units.groupBy(*keys).agg(*sums).select(*keys, written(blocks, lanes, sketch).alias("_f"), _centred(blocks, sketch).alias("_c"))
+    own_and_edited = F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.col(c).alias("t")) for v, c in enumerate(("_t", "_e"))]))
+    both = texts.withColumn("edited_sha256", F.sha2("_e", 256)).select(*keys[:-1], own_and_edited.alias("_x")).select(*keys[:-1], F.col("_x.v").alias("_v"), F.col("_x.t").alias("_t"))
+    marks = _summed(both, keys, "_t").select(*keys, written(F.col("blocks"), F.col("lanes"), F.col("sketch")).alias("_f"), _centred(F.col("blocks"), F.col("sketch")).alias("_c"))
     # A document's own row is followed by that of its edited text and then by the next document's.
     rows = Window.partitionBy("_b").orderBy("_r", "_v")
     return (
