@@ -47,7 +47,7 @@ SHARE = (90, 100)
 #: a region of very many blocks has fewer and larger ones, enough for all tasks of the cluster.
 BLOCK, DOCUMENT = 25_000, 100
 PIVOTS = 8
-_MEMORY = 400_000
+_MEMORY = 200_000
 _SMALL, _CELLS = 24, 4
 DEALS = 3
 
@@ -241,28 +241,37 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
     return rows.mapInArrow(run, "point long, n long, s array<long>").dropDuplicates(["point"])
 
 
-def _region(table: pa.Table) -> tuple[_Region, list[int]]:
-    sets = [s.values.to_numpy(zero_copy_only=False).view(np.uint64) for s in table.column("s").combine_chunks()]
-    return _Region(sets, table.column("component").to_pylist()), table.column("point").to_pylist()
-
-
-def _found(region: _Region, ids: list[int]) -> pa.Table:
-    return pa.table({"a": pa.array([ids[i] for i, _ in region.found], pa.int64()), "b": pa.array([ids[j] for _, j in region.found], pa.int64())})
+def _tasks(rows: DataFrame) -> DataFrame:
+    """Links in each task. rows: (region, task, point, component, pivot, s).
 
+    With pivots, of the pivots to the members; without, of all members of different
+    components.  Tasks stream through a worker one after the other, in order.
+    """
 
-def _joined(table: pa.Table) -> pa.Table:
-    """Links between the components of a task's members."""
-    region, ids = _region(table)
-    region.join(np.arange(len(ids)))
-    return _found(region, ids)
+    def links(ids: list[int], component: list[int], pivot: list[bool], sets: list[np.ndarray]) -> pa.RecordBatch:
+        region = _Region(sets, component)
+        everyone = np.arange(len(ids))
+        for x in np.flatnonzero(pivot):
+            region.compare(int(x), everyone)
+        if not any(pivot):
+            region.join(everyone)
+        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in region.found], pa.int64()), pa.array([ids[j] for _, j in region.found], pa.int64())], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [], [], [])
+        for batch in batches:
+            for region, task, point, component, pivot, s in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5), strict=True):
+                if (region, task) != now:
+                    if held[0]:
+                        yield links(*held)
+                    now, held = (region, task), ([], [], [], [])
+                for column, value in zip(held, (point, component, pivot, s.values.to_numpy(zero_copy_only=False).view(np.uint64)), strict=True):
+                    column.append(value)
+        if held[0]:
+            yield links(*held)
 
-def _to_pivots(table: pa.Table) -> pa.Table:
-    """Links between a task's pivots and its members."""
-    region, ids = _region(table)
-    for x in np.flatnonzero(table.column("pivot").to_numpy(zero_copy_only=False)):
-        region.compare(int(x), np.arange(len(ids)))
-    return _found(region, ids)
+    dealt = rows.select("region", F.col("task").cast("string").alias("task"), "point", "component", "pivot", "s")
+    return dealt.repartition(partitions(rows.sparkSession), "region", "task").sortWithinPartitions("region", "task").mapInArrow(run, "a long, b long")
 
 
 def _weight() -> Column:
@@ -280,7 +289,7 @@ def _pivot_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     own = own.select("region", "point", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("task"), F.lit(True).alias("pivot"))
     both = rows.unionByName(own).groupBy("region", "point", "task").agg(F.max("pivot").alias("pivot"))
     dealt = both.join(sets, "point").withColumn("component", F.col("point"))
-    return dealt.groupBy("region", "task").applyInArrow(_to_pivots, "a long, b long")
+    return _tasks(dealt)
 
 
 def _block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -302,7 +311,7 @@ def _block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     tasks = F.when(F.col("rest"), F.concat(F.when(F.col("nr") > 1, among).otherwise(none), to_main)).otherwise(to_rest)
     dealt = rows.select("region", F.explode(F.array_distinct(tasks)).alias("task"), "point", "component").join(sets, "point")
-    return dealt.groupBy("region", "task").applyInArrow(_joined, "a long, b long")
+    return _tasks(dealt.withColumn("pivot", F.lit(False)))
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,7 +335,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     weights = members.groupBy("region").agg(_weight().alias("w"))
     small = members.join(weights.filter(F.col("w") <= BLOCK), "region", "left_semi")
     large = members.join(weights.filter(F.col("w") > BLOCK), "region", "left_semi").select("region", "point", "n")
-    alone = small.select("region", "point", F.col("point").alias("component")).join(sets, "point").groupBy("region").applyInArrow(_joined, "a long, b long")
+    alone = _tasks(small.select("region", F.lit("").alias("task"), "point", F.col("point").alias("component"), F.lit(False).alias("pivot")).join(sets, "point"))
     links = ws.save(alone, "links")
     near = ws.save(_pivot_links(large, sets), "pivot-links")
     found = components(near, ws)
