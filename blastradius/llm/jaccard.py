@@ -237,7 +237,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(points, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["point", "n", "s"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("_d"), F.col(text_col).alias("text"))
-    rows = texts.join(wanted, texts["_d"].eqNullSafe(wanted["doc_id"])).select("point", "text")
+    # The wanted ids grow with the corpus: they meet the texts by a shuffle at every size.
+    rows = texts.join(wanted.hint("merge"), texts["_d"].eqNullSafe(wanted["doc_id"])).select("point", "text")
     return rows.mapInArrow(run, "point long, n long, s array<long>").dropDuplicates(["point"])
 
 
@@ -331,7 +332,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     regions = components(chains.select(F.col("point").alias("a"), F.col("before").alias("b")), ws)
     ids = base.filter("point is not null").groupBy("point").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     members = ws.save(regions.join(ids, regions["node"] == ids["point"]).select("point", "doc_id", "n", F.col("component").alias("region")), "members")
-    sets = ws.save(_sets(docs, members.select("doc_id", "point"), id_col, text_col), "sets").select("point", "s")
+    sets = ws.save(_sets(docs, members.select("doc_id", "point"), id_col, text_col), "sets").select("point", "s").hint("merge")
     weights = members.groupBy("region").agg(_weight().alias("w"))
     small = members.join(weights.filter(F.col("w") <= BLOCK), "region", "left_semi")
     large = members.join(weights.filter(F.col("w") > BLOCK), "region", "left_semi").select("region", "point", "n")
