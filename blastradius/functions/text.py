@@ -77,10 +77,10 @@ def table_refs(cleaned: Column) -> Column:
 
 # One row of a field parameter (caption, reference, order, group).
 PARAMETER_ROW = (
-    r'(?i)\(\s*"((?:[^"]|"")*)"\s*,'
+    r'(?i)\(\s*"([^"]*+(?:""[^"]*+)*+)"\s*,'
     r"\s*NAMEOF\s*\(\s*(?:'([^']+)'|([^'\[\s,()]+))?\s*\[([^\]]+)\]\s*\)"
     r"(?:\s*,\s*(-?\d+))?"
-    r'(?:\s*,\s*"((?:[^"]|"")*)")?'
+    r'(?:\s*,\s*"([^"]*+(?:""[^"]*+)*+)")?'
 )
 
 
@@ -166,17 +166,57 @@ def final_projection(m: Column) -> Column:
     return F.when(F.size(kept) > 0, F.filter(kept, lambda c: ~F.array_contains(removed, c)))
 
 
-# An argument list with calls nested up to three deep; string literals are skipped whole.
-_FLAT = r'[^()"]|"(?:[^"]|"")*+"'
-_NESTED = rf"(?:{_FLAT}|\((?:{_FLAT}|\((?:{_FLAT}|\((?:{_FLAT})*+\))*+\))*+\))*+"
-ADD_COLUMN = rf'Table\.AddColumn\s*\(\s*(?:[^,("]|\({_NESTED}\))+,\s*"((?:[^"\\]|\\.)*)"\s*,({_NESTED})\)'
+# What an argument list is made of: string literals, brackets, commas, and runs of anything else.
+TOKEN = r'"[^"]*+(?:""[^"]*+)*+"|[(){}\[\],]|[^"(){}\[\],]++|"'
+ADD_COLUMN = "Table.AddColumn"
+
+
+def _arguments(call: Column) -> Column:
+    """{second, rest}: arguments of the call whose list opens ``call``, at any depth of nesting; null if it never closes."""
+    start = F.struct(
+        F.lit(0).alias("depth"), F.lit(1).alias("at"), F.lit(False).alias("done"), F.lit("").alias("second"), F.lit("").alias("rest")
+    )
+
+    def step(acc: Column, t: Column) -> Column:
+        opens, closes = t.isin("(", "[", "{"), t.isin(")", "]", "}")
+        depth = acc["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        over = closes & (depth <= 0)
+        comma = (t == ",") & (depth == 1)
+        inside = ~over & ~comma & (acc["depth"] > 0)
+        read = F.struct(
+            depth.alias("depth"),
+            (acc["at"] + F.when(comma, 1).otherwise(0)).alias("at"),
+            over.alias("done"),
+            F.concat(acc["second"], F.when(inside & (acc["at"] == 2), t).otherwise("")).alias("second"),
+            F.concat(acc["rest"], F.when((inside | comma) & (acc["at"] > 2), t).otherwise("")).alias("rest"),
+        )
+        return F.when(acc["done"], acc).otherwise(read)
+
+    return F.aggregate(
+        F.regexp_extract_all(call, F.lit(TOKEN), F.lit(0)),
+        start,
+        step,
+        lambda acc: F.when(acc["done"], F.struct(acc["second"].alias("second"), acc["rest"].alias("rest"))),
+    )
+
+
 # A field read by plain or quoted name.
 FIELD_READ = r'\[\s*(?:#"((?:[^"]|"")*)"|([A-Za-z_][A-Za-z0-9_ .]*?))\s*\]'
 
 
 def added_columns(m: Column) -> Column:
     """{col, reads}: columns computed in the query and the fields each one reads."""
-    found = matches(m, ADD_COLUMN, "col", "body")
+    parts = F.split(m, r"Table\.AddColumn(?=\s*\()")
+    # A call's list may hold further calls, so each is read on to the end of the text.
+    each = F.transform(
+        F.slice(parts, 2, 1 << 30),
+        lambda part, i: _arguments(F.array_join(F.slice(parts, i + 2, F.size(parts)), ADD_COLUMN)),
+    )
+    named = F.transform(
+        F.filter(each, lambda a: a.isNotNull() & a["second"].rlike(r'^\s*"[\s\S]*"\s*$')),
+        lambda a: F.struct(F.regexp_extract(a["second"], r'"([\s\S]*)"', 1).alias("col"), a["rest"].alias("body")),
+    )
+    found = F.when(F.contains(m, F.lit(ADD_COLUMN)), named).otherwise(F.array().cast("array<struct<col:string,body:string>>"))
     return F.transform(
         found,
         lambda r: F.struct(
@@ -337,7 +377,12 @@ def connectors(m: Column) -> Column:
     return F.concat(F.transform(complete, described), literal)
 
 
-NATIVE_QUERY = rf'Value\.NativeQuery\s*\(((?:[^,()"]|\({_NESTED}\)|"[^"]*")*+),\s*"((?:[^"\\]|\\.)*)"'
+# The connection's brackets are followed five deep; the query's text may have any length.
+_FLAT = r'[^()"]|"[^"]*+"'
+_NESTED = rf"(?:{_FLAT})*+"
+for _ in range(5):
+    _NESTED = rf"(?:{_FLAT}|\({_NESTED}\))*+"
+NATIVE_QUERY = rf'Value\.NativeQuery\s*\(((?:[^,()"]|\({_NESTED}\)|"[^"]*+")*+),\s*"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
 
 
 def native_queries(m: Column) -> Column:

@@ -332,13 +332,11 @@ def edge_integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return union_all([d.select("src", "dst", "kind", "problem") for d in (no_src, no_dst, loop)])
 
 
-# Column-level reads by filters and joins carry a target column with this prefix.
-STRUCTURAL_PREFIX = "__"
-
-
-def structural_edges(edges: DataFrame, prefix: str = STRUCTURAL_PREFIX) -> DataFrame:
+# Column-level reads by filters and joins carry a target column with a reserved prefix, which the caller names: real
+# columns may begin with anything.
+def structural_edges(edges: DataFrame, prefix: str) -> DataFrame:
     return edges.where(F.startswith("tc", F.lit(prefix)))
 
 
-def column_edges(edges: DataFrame, prefix: str = STRUCTURAL_PREFIX) -> DataFrame:
+def column_edges(edges: DataFrame, prefix: str) -> DataFrame:
     return edges.where(~F.coalesce(F.startswith("tc", F.lit(prefix)), F.lit(False)))

@@ -586,7 +586,7 @@ def edge_integrity(c: Context):
 )
 def structural_edges(c: Context):
     """Columns read by filters and joins, kept apart from column lineage."""
-    return W.structural_edges(c.raw_edges).select("src", "dst", "sc", "tc")
+    return W.structural_edges(c.raw_edges, "__").select("src", "dst", "sc", "tc")
 
 
 @query(

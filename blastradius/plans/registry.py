@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from blastradius.plans import estate
-from blastradius.workspace import Workspace, spread
+from blastradius.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,7 +36,7 @@ class Context:
             if name in estate.WRITTEN:
                 view = self.ws.save(view, name)
             elif name in estate.TEXTS:
-                view = spread(view, estate.TEXTS[name])
+                view = view.repartition(estate.TEXTS[name])
             self._views[name] = view
         return self._views[name]
 

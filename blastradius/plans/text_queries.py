@@ -64,7 +64,9 @@ def dax_table_refs(c: Context):
     return refs(c)[2]
 
 
-ROW_PATTERN = T.PARAMETER_ROW.replace("'", "''")
+ROW_PATTERN = (
+    r'''(?i)\(\s*"((?:[^"]|"")*)"\s*,\s*NAMEOF\s*\(\s*(?:'([^']+)'|([^'\[\s,()]+))?\s*\[([^\]]+)\]\s*\)(?:\s*,\s*(-?\d+))?(?:\s*,\s*"((?:[^"]|"")*)")?'''
+).replace("'", "''")
 NAMEOF = (
     "select id, "
     + ", ".join(f"unnest(regexp_extract_all(coalesce(body, ''), '{ROW_PATTERN}', {n})) as g{n}" for n in range(1, 7))

@@ -29,16 +29,6 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on text that a small file holds in too few splits.
-
-    Parsing costs far more than moving the rows; an input of at least as many
-    splits as there are cores is left where it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 class Workspace:
     """One folder of written tables; every table gets a name of its own."""
 

@@ -130,3 +130,21 @@ def test_sink_replaces_one_tenant(spark, tmp_path):
     assert got == {("a", 1), ("b", 2)}
     with pytest.raises(ValueError):
         write_graph({"other": spark.range(1)}, path, "a")
+
+
+def test_added_columns_at_any_depth(spark):
+    deep = "1"
+    for _ in range(8):
+        deep = f"f({deep}, [x])"
+    assert [g[0] for g in value(spark, T.added_columns, f'Table.AddColumn(S, "A", each {deep})')] == ["A"]
+    got = value(spark, T.added_columns, 'Table.AddColumn(Table.AddColumn(S, "A", each [p]), "B", each [q], type text)')
+    assert [(g[0], list(g[1])) for g in got] == [("B", ["q"]), ("A", ["p"])]
+    long = 'Table.AddColumn(' + "a" * 20_000 + ', "A", each [p])'
+    assert [g[0] for g in value(spark, T.added_columns, long)] == ["A"]
+
+
+def test_long_texts_do_not_exhaust_the_stack(spark):
+    sql = "select " + "a, " * 5_000 + "b"
+    assert value(spark, T.native_queries, f'Value.NativeQuery(Sql.Database("s", "d"), "{sql}")')[0][1] == sql
+    caption = 'c""' * 7_000
+    assert len(value(spark, T.parameter_rows, f'{{("{caption}", NAMEOF(\'t\'[c]), 0)}}')) == 1
