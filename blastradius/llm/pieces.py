@@ -26,7 +26,7 @@ from blastradius.llm.common import ship
 
 SPACE = "▁"
 #: Words and pairs a worker remembers before it starts anew.
-MEMORY = 400_000
+MEMORY = 600_000
 
 
 class _Remembered(dict):
@@ -81,24 +81,19 @@ class PieceTable:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def _ids(self, word: str) -> list[int]:
-        last: list[str] = [""] * (len(word) + 1)
-        found: list[list[str]] = [[] for _ in word]
+        last: list[str | None] = [None] * (len(word) + 1)
+        fits, whole = self.fits, self.whole
         for end, piece in self.ends.iter(word):
-            found[end].append(piece)
-        for end, char in enumerate(word, 1):
-            options = found[end - 1]
-            if char not in self.ids:
-                options.append(char)
-            options.sort(key=len, reverse=True)
-            for piece in options:
+            end += 1
+            if last[end] is None:
                 start = end - len(piece)
-                if self.fits[last[start], piece] if start else self.whole[piece]:
+                if fits[last[start] or word[start - 1], piece] if start else whole[piece]:
                     last[end] = piece
-                    break
+        # Where nothing fits, a character of no piece stands for itself.
         out: list[int] = []
         end = len(word)
         while end:
-            piece = last[end]
+            piece = last[end] or word[end - 1]
             known = self.ids.get(piece)
             out += [known] if known is not None else [self.byte_ids[b] for b in reversed(piece.encode())]
             end -= len(piece)
