@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 
 def search_index(nodes: DataFrame, columns: DataFrame) -> DataFrame:
-    """One row per node and per column: id, col, label, hint, facet, layer."""
+    """One row per node and per column: id, col, label, hint, facet, layer, tags, aliases.
+
+    Tags are the node's, for its columns too.  Aliases are other names a row is found
+    by: the node's own ``aliases`` and, for a column, those of ``columns``.
+    """
+    none = F.array().cast("array<string>")
+    tags = F.coalesce("tags", none).alias("tags")
     own = F.col("kind")
     report = F.col("origin") == "pbi"
     node_facet = (
@@ -25,9 +31,12 @@ def search_index(nodes: DataFrame, columns: DataFrame) -> DataFrame:
         .alias("hint"),
         node_facet.alias("facet"),
         "layer",
+        tags,
+        F.coalesce("aliases", none).alias("aliases"),
     )
-    cols = columns.join(nodes, "id").select(
-        "id", "col", F.col("col").alias("label"), F.col("name").alias("hint"), column_facet.alias("facet"), "layer"
+    own_names = columns.select("id", "col", F.coalesce("aliases", none).alias("aliases"))
+    cols = own_names.join(nodes.drop("aliases"), "id").select(
+        "id", "col", F.col("col").alias("label"), F.col("name").alias("hint"), column_facet.alias("facet"), "layer", tags, "aliases"
     )
     return rows.unionByName(cols)
 
@@ -38,20 +47,22 @@ def search_rank(
     facets: list[str] | None = None,
     layers: list[str] | None = None,
     tags: list[str] | None = None,
+    top: int | None = None,
 ) -> DataFrame:
     """Rows that match, best first: a prefix before a substring, a name before an alias.
 
     Facets, layers and tags all restrict; of the tags any one will do.  Without a
-    needle every row left is of the same band.
+    needle every row left is of the same band; a request that asks for nothing finds
+    nothing.  With ``top``, the best so many rows, found without sorting the others.
     """
-    rows = index
+    text = needle.strip().lower()
+    rows = index if text or facets or layers or tags else index.where(F.lit(False))
     if facets:
         rows = rows.where(F.col("facet").isin(*facets))
     if layers:
         rows = rows.where(F.col("layer").isin(*layers))
     if tags:
         rows = rows.where(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in tags])))
-    text = needle.strip().lower()
     hay = F.lower("label")
     starts = F.filter("aliases", lambda a: F.startswith(F.lower(a), F.lit(text)))
     within = F.filter("aliases", lambda a: F.contains(F.lower(a), F.lit(text)))
@@ -67,9 +78,10 @@ def search_rank(
     alias = F.when(F.col("band") == 1, F.try_element_at(starts, F.lit(1))).when(
         F.col("band") == 3, F.try_element_at(within, F.lit(1))
     )
-    return (
+    ranked = (
         rows.withColumn("band", band)
         .where(F.col("band").isNotNull())
         .select("*", F.length("label").alias("label_length"), (alias if text else F.lit(None).cast("string")).alias("matched_alias"))
-        .orderBy("band", "label_length", "label", "id")
+        .orderBy("band", "label_length", "label", "id", "col")
     )
+    return ranked if top is None else ranked.limit(top)

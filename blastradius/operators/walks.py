@@ -323,6 +323,11 @@ def graph_union(warehouse: DataFrame, report: DataFrame) -> DataFrame:
     return warehouse.join(report.select("id"), "id", "left_anti").unionByName(report)
 
 
+def edge_union(warehouse: DataFrame, report: DataFrame) -> DataFrame:
+    """Edges of both sides one after the other; an edge that both name stands twice."""
+    return warehouse.unionByName(report)
+
+
 def edge_integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with an end that does not exist, and edges from a node to itself."""
     known = nodes.select("id").distinct()

@@ -266,6 +266,13 @@ VIEWS["searchables"] = """
 select p_partkey as id, p_name as label, split(p_brand||','||p_type||','||'Alias '||p_size, ',') as aliases, 'L'||(p_size%3) as layer, split('t'||(p_size%5)||','||p_type, ',') as tags,
 case when p_size%2=0 then 'measure' else 'dbtModel' end as facet from part
 """
+# The graph's nodes and columns with what the search looks at beside their names.
+VIEWS["search_nodes"] = f"""
+select id, kind, name, layer, origin, case when kind = 'measure' and length(name)%4 <> 0 then 'Home '||length(name) end as home_table, case when origin = 'dbt' and length(id)%3 <> 0 then 'DB.'||name end as relation,
+case when origin = 'dbt' then split('t'||(length(name)%5)||','||layer, ',') when kind = 'visual' and length(name)%2 = 0 then split('shown', ',') end as tags,
+case when kind = 'measure' and length(name)%3 = 0 then split('Sold '||name||',Units of '||name, ',') when kind = 'page' then split('Priority', ',') end as aliases from ({VIEWS["nodes"]}) n
+"""
+VIEWS["search_cols"] = f"select id, col, case when length(id)%2 = 0 then split('key '||col||',Sort '||id, ',') end as aliases from ({VIEWS['cols']}) k"
 VIEWS["folders"] = """
 select c_custkey as id, lower(r_name)||'/'||lower(n_name)||case when c_custkey%3=0 then '' else '/'||lower(c_mktsegment) end as layer from customer join nation on c_nationkey=n_nationkey join region on n_regionkey=r_regionkey
 """

@@ -10,6 +10,7 @@ from blastradius.operators import impact as I
 from blastradius.operators import walks as W
 from blastradius.operators.closure import StateGraph
 from blastradius.plans.registry import Context, query
+from blastradius.sources.sink import read_graph, write_graph
 
 # Walk of the checks: every node and every declared column as an origin.
 WALK = """recursive
@@ -559,6 +560,35 @@ def graph_union(c: Context):
     return W.graph_union(warehouse, c.nodes.where(F.col("origin") == "pbi")).select("id", "kind", "name")
 
 
+@query(
+    "edge_union",
+    """select src, dst, sc, tc, kind from fx_edges where kind in ('dbt', 'dbt_to_pbi')
+union all select src, dst, sc, tc, kind from fx_edges where kind <> 'dbt'""",
+)
+def edge_union(c: Context):
+    """Warehouse and report edges in one table; both sides name the links between them."""
+    warehouse = c.edges.where(F.col("kind").isin("dbt", "dbt_to_pbi"))
+    return W.edge_union(warehouse, c.edges.where(F.col("kind") != "dbt")).select("src", "dst", "sc", "tc", "kind")
+
+
+@query(
+    "graph_sink",
+    """select 'whole' as tenant, id, kind, name from fx_nodes
+union all select '007' as tenant, id, kind, name from fx_nodes where origin = 'pbi'""",
+)
+def graph_sink(c: Context):
+    """Two graphs written, one of them again, and all read back."""
+
+    def build(c):
+        path, nodes = f"{c.ws.root}/graph", c.nodes.select("id", "kind", "name", "origin")
+        write_graph({"nodes": nodes}, path, "007")
+        write_graph({"nodes": nodes}, path, "whole")
+        write_graph({"nodes": nodes.where(F.col("origin") == "pbi")}, path, "007")
+        return read_graph(c.spark, path, "nodes").select("tenant", "id", "kind", "name")
+
+    return c.shared("graph-sink", build)
+
+
 @query(
     "stub_nodes",
     """select id, 'unknown' as kind, split_part(id, '.', -1) as name, 'unknown' as layer from (select src as id from fx_raw_edges union select dst from fx_raw_edges) e
