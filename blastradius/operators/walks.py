@@ -125,8 +125,13 @@ def page_summary(graph: NodeGraph, edges: DataFrame) -> DataFrame:
     )
 
 
+def trace_graph(ws: Workspace, nodes: DataFrame, edges: DataFrame, columns: DataFrame, direction: str) -> StateGraph:
+    """The graph that traces of one direction walk; it serves any number of them."""
+    return StateGraph(ws, nodes, edges, columns, consuming=("measure", "visual", "page"), up=direction == "up")
+
+
 def trace(
-    ws: Workspace, nodes: DataFrame, edges: DataFrame, columns: DataFrame, starts: DataFrame, direction: str
+    graph: StateGraph, nodes: DataFrame, edges: DataFrame, columns: DataFrame, starts: DataFrame, direction: str
 ) -> DataFrame:
     """What lies on the paths of a selected node or column, one direction.
 
@@ -134,10 +139,9 @@ def trace(
     columns (how many columns of the reached node the path names), inferred
     (reached only over edges that name no column).  A page holds its visuals:
     that edge ends a walk; downwards it is taken from the selected page only.
+    ``graph`` is the ``trace_graph`` of the same direction.
     """
-    graph = StateGraph(
-        ws, nodes, edges, columns, consuming=("measure", "visual", "page"), up=direction == "up"
-    )
+    ws = graph.ws
     picked = starts.select("id", "col", column_name(F.col("col")).alias("low")).distinct()
     at_column = (
         picked.where(F.col("low").isNotNull())

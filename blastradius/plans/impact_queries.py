@@ -371,10 +371,15 @@ fx_down as (select id, col, pos as reached, min(hop) as hop, count(distinct case
   from fx_td where hop > 0 group by 1, 2, 3)"""
 
 
+def traced(c: Context, starts, direction: str):
+    graph = c.shared(f"trace_graph_{direction}", lambda c: W.trace_graph(c.ws, c.nodes, c.edges, c.cols, direction))
+    return W.trace(graph, c.nodes, c.edges, c.cols, starts, direction)
+
+
 def traced_down(c: Context):
     def build(c):
         starts = c.cols.join(c.nodes.where(F.col("kind") == "source").select("id"), "id", "left_semi")
-        return c.ws.save(W.trace(c.ws, c.nodes, c.edges, c.cols, starts, "down"), "traced-down")
+        return c.ws.save(traced(c, starts, "down"), "traced-down")
 
     return c.shared("traced_down", build)
 
@@ -403,7 +408,7 @@ from fx_all group by 1, 2, 3""",
 def trace_up(c: Context):
     """Everything every visual is built from, with its page."""
     starts = c.nodes.where(F.col("kind") == "visual").select("id", F.lit(None).cast("string").alias("col"))
-    return W.trace(c.ws, c.nodes, c.edges, c.cols, starts, "up")
+    return traced(c, starts, "up")
 
 
 @query(
@@ -414,7 +419,7 @@ from (select distinct src, dst from fx_edges where kind = 'page_to_visual') t"""
 def trace_page(c: Context):
     """A selected page lights the visuals it holds and nothing beyond."""
     starts = c.nodes.where(F.col("kind") == "page").select("id", F.lit(None).cast("string").alias("col"))
-    return W.trace(c.ws, c.nodes, c.edges, c.cols, starts, "down")
+    return traced(c, starts, "down")
 
 
 @query(
