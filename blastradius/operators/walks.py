@@ -131,7 +131,13 @@ def trace_graph(ws: Workspace, nodes: DataFrame, edges: DataFrame, columns: Data
 
 
 def trace(
-    graph: StateGraph, nodes: DataFrame, edges: DataFrame, columns: DataFrame, starts: DataFrame, direction: str
+    ws: Workspace,
+    nodes: DataFrame,
+    edges: DataFrame,
+    columns: DataFrame,
+    starts: DataFrame,
+    direction: str,
+    graph: StateGraph | None = None,
 ) -> DataFrame:
     """What lies on the paths of a selected node or column, one direction.
 
@@ -139,9 +145,9 @@ def trace(
     columns (how many columns of the reached node the path names), inferred
     (reached only over edges that name no column).  A page holds its visuals:
     that edge ends a walk; downwards it is taken from the selected page only.
-    ``graph`` is the ``trace_graph`` of the same direction.
+    ``graph`` is the ``trace_graph`` of the same direction, where there is one.
     """
-    ws = graph.ws
+    graph = graph or trace_graph(ws, nodes, edges, columns, direction)
     picked = starts.select("id", "col", column_name(F.col("col")).alias("low")).distinct()
     at_column = (
         picked.where(F.col("low").isNotNull())

@@ -373,7 +373,7 @@ fx_down as (select id, col, pos as reached, min(hop) as hop, count(distinct case
 
 def traced(c: Context, starts, direction: str):
     graph = c.shared(f"trace_graph_{direction}", lambda c: W.trace_graph(c.ws, c.nodes, c.edges, c.cols, direction))
-    return W.trace(graph, c.nodes, c.edges, c.cols, starts, direction)
+    return W.trace(c.ws, c.nodes, c.edges, c.cols, starts, direction, graph)
 
 
 def traced_down(c: Context):
