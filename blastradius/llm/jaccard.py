@@ -345,8 +345,9 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     more = _block_links(named.join(open_, "region", "left_semi"), sets)
     final = ws.save(components(links.unionByName(near).unionByName(more), ws), "components")
     rows = base.select("doc_id", "n", "point").join(final, base["point"] == final["node"], "left").select("doc_id", "n", F.coalesce("component", "point").alias("c"))
-    least = rows.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
-    out = rows.join(least, "c", "left")
+    # Written, so that the join has plain shuffles on both sides and a large component is split; by a shuffle at every size.
+    least = ws.save(rows.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("least")), "least")
+    out = rows.join(least.hint("merge"), "c", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
