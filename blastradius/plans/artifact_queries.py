@@ -75,6 +75,17 @@ def manifest_nodes(c: Context):
     return project_nodes(c)
 
 
+@query(
+    "parse_failures",
+    """/*main*/ select doc, case when not json_valid(body) or json_type(body) <> 'OBJECT' then 'not a JSON object' else 'no '||part end as reason
+from (select doc, coalesce(body, '') as body, unnest(['nodes', 'sources']) as part from fx_delivered_json) t
+where case when not json_valid(body) or json_type(body) <> 'OBJECT' then part = 'nodes' else not list_contains(json_keys(body), part) end""",
+)
+def parse_failures(c: Context):
+    """Delivered manifests that can't be read whole."""
+    return A.parse_failures(c.delivered_json, "nodes", "sources")
+
+
 @query("catalog_columns", CATALOG + " /*main*/ select doc, part, node_id, col, type, ordinal from fx_cat")
 def catalog_columns(c: Context):
     """Columns the warehouse catalogs hold."""

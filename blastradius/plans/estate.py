@@ -226,6 +226,11 @@ select c_custkey as doc, '{"metadata":{"project_name":"p'||c_custkey||'"},"nodes
 ||'"sources":{"source.p.s'||c_custkey||'":{"resource_type":"source","name":"s'||c_custkey||'","identifier":"ident'||c_custkey||'","database":"DB","schema":"raw'||c_nationkey||'"'||case when c_custkey%3=0 then '' else ',"source_name":"crm'||(c_custkey%7)||'"' end||',"columns":{}}},'
 ||'"exposures":{"exposure.p.e'||c_custkey||'":{"resource_type":"exposure","name":"e'||c_custkey||'"}}}' as body from customer
 """
+# The same manifests as they arrive: some cut off, empty, null, of another shape or without a part.
+VIEWS["delivered_json"] = f"""
+select doc, case when doc%7=0 then substr(body, 1, length(body) - 1 - doc%200) when doc%11=0 then '' when doc%13=0 then null when doc%17=0 then '['||body||']'
+when doc%5=0 then replace(body, '"sources":', '"origins":') when doc%19=0 then '{{}}' else body end as body from ({VIEWS["manifest_json"]}) m
+"""
 VIEWS["catalog_json"] = """
 select c_custkey as doc, '{"nodes":{'||case when c_custkey%5=0 or c_custkey%6=0 then '' else '"model.p.m'||c_custkey||'":{"metadata":{"schema":"s"},"columns":{"K0":{"type":"bigint","index":2},"K1":{"type":"text","index":1},"Z":{"type":"date","index":3}}}' end
 ||'},"sources":{"source.p.s'||c_custkey||'":{"columns":{"a":{"type":"int","index":1}}}}}' as body from customer
@@ -291,6 +296,7 @@ WRITTEN = {"edges", "nodes", "cols"}
 TEXTS = {
     "manifest_json": "doc",
     "catalog_json": "doc",
+    "delivered_json": "doc",
     "visual_json": "visual",
     "page_json": "page_id",
     "mapping_csv": "doc",

@@ -16,6 +16,16 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def parse_failures(docs: DataFrame, *parts: str) -> DataFrame:
+    """doc, reason: documents whose text is no whole JSON object, and top-level parts that a document lacks.
+
+    Readers give no rows for either.  A null text is no JSON object.
+    """
+    keys = F.json_object_keys("body")
+    lacks = F.concat(*[F.when(F.array_contains(keys, p), F.array()).otherwise(F.array(F.lit(f"no {p}"))) for p in parts])
+    return docs.select("doc", F.explode(F.when(keys.isNull(), F.array(F.lit("not a JSON object"))).otherwise(lacks)).alias("reason"))
+
+
 # Fields read from the documents; all others are skipped while parsing.
 NODE = (
     "struct<resource_type:string, name:string, identifier:string, database:string, schema:string, path:string, "
