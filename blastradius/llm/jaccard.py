@@ -1,13 +1,13 @@
 """Exact Jaccard join of documents over word shingles, as a join in a metric space.
 
-Two sets link when their Jaccard similarity is at least 9/10, so their symmetric
-difference, a metric, has at most (n + m) / 19 members.  Documents are far from all
+Two sets link when their Jaccard similarity is at least a share t, so their symmetric
+difference, a metric, has at most (n + m) (1 - t) / (1 + t) members: (n + m) / 19 of 9/10.  Documents are far from all
 others but their own few near copies, so the distance to a document tells nothing
 about most of the others, and regions round sampled documents would hold everything.
-The first regions are therefore taken in a hundredth of the space: the shingles are
-dealt by hash to one class more than the allowed difference, distances in the classes
+The first regions are therefore taken in a small part of the space: the shingles are
+dealt by hash to more classes than the allowed difference, distances in the classes
 add up to the distance, and so two linked sets are at distance 0 in some class.  A
-region is the documents that have one part in common; sets of up to 10 / 9 times the
+region is the documents that have one part in common; sets of up to 1 / t times the
 size meet as each size class is also dealt with its neighbour's classes.
 
 Parts in common make regions: a region is what they connect.  All its members are
@@ -30,6 +30,7 @@ inequality.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +41,9 @@ from pyspark.sql import functions as F
 from blastradius.llm.common import partitions, ship, workspace
 from blastradius.llm.components import components
 
-WORDS = 3
-#: Sets link when SHARE[1] * intersection >= SHARE[0] * union.
-SHARE = (90, 100)
+#: Words of a shingle and least similarity unless the caller names others: sets link when
+#: share[1] * intersection >= share[0] * union.
+WORDS, SHARE = 3, (90, 100)
 #: Weight (shingles and ``DOCUMENT`` for each set) of a region that one task joins, and of a block of a larger one;
 #: a region of very many blocks has fewer and larger ones, enough for all tasks of the cluster.
 BLOCK, DOCUMENT = 25_000, 100
@@ -63,7 +64,11 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
-_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
+def _factor(place: int) -> np.uint64:
+    """An odd number of its own for each place of a shingle."""
+    return np.uint64(0x9E3779B97F4A7C15 * (2 * place + 1) % (1 << 64))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -82,45 +87,60 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     n = len(h) - words + 1
     total = np.zeros(n, np.uint64)
     for i in range(words):
-        total = _mixed(total + h[i : i + n] * _FACTORS[i % 3])
+        total = _mixed(total + h[i : i + n] * _factor(i))
     return np.unique(total)
 
 
-def size_class(n: int) -> tuple[int, int, int, int]:
-    """(number of n's class, parts when it meets its own and the next class, the class before, parts with that)."""
-    edges = _size_edges
-    while edges[-3] <= n:
-        edges.append(edges[-1] * SHARE[1] // SHARE[0] + 1)
+def size_class(n: int, share: tuple[int, int] = SHARE) -> tuple[int, int, int, int]:
+    """(number of n's class, most difference when it meets its own and the next class, the class before, that with it)."""
+    edges = _size_edges.setdefault(share, [1])
+    while len(edges) < 3 or edges[-3] <= n:
+        edges.append(edges[-1] * share[1] // share[0] + 1)
     j = int(np.searchsorted(edges, n, "right")) - 1
-    slack, whole = SHARE[1] - SHARE[0], SHARE[1] + SHARE[0]
-    parts = lambda k: 2 * (edges[k + 2] - 1) * slack // whole + 1
-    return j, parts(j), j - 1, parts(j - 1) if j else 0
+    slack, whole = share[1] - share[0], share[1] + share[0]
+    most = lambda k: 2 * (edges[k + 2] - 1) * slack // whole
+    return j, most(j), j - 1, most(j - 1) if j else -1
+
+
+_size_edges: dict[tuple[int, int], list[int]] = {}
 
 
-_size_edges = [1, 2, 3, 4]
+@cache
+def _parts(most: int, least: int) -> int:
+    """Parts to deal a set of ``least`` members to, so that more than ``most`` of them are hardly ever not filled."""
+    for k in range(most + 1, 2 * most + 1):
+        empty, both = (1 - 1 / k) ** least, max(0.0, 1 - 2 / k) ** least
+        spread = max(0.0, k * empty + k * (k - 1) * both - (k * empty) ** 2) ** 0.5
+        if k * (1 - empty) - 2.5 * spread > most:
+            return k
+    return max(1, 2 * most)
 
 
-def part_keys(s: np.ndarray) -> np.ndarray:
+def part_keys(s: np.ndarray, share: tuple[int, int] = SHARE) -> np.ndarray:
     """Hash of each part of a set, for its own size class and the one before.
 
-    Parts that are empty are alike in all sets.  A set that has one is dealt anew
-    by another hash, up to ``DEALS`` times; only the last deal's empty parts count.
-    If two linked sets have only empty parts in common, both are dealt anew.
+    Parts that are empty are alike in all sets and don't count.  A set that fills more
+    parts than the allowed difference has one of them in common with each set it links
+    to.  One that doesn't is dealt anew by another hash, up to ``DEALS`` times; only the
+    last deal's empty parts count.  Of two linked sets both are dealt anew or one fills enough.
     """
     out = []
-    j, own, before, fewer = size_class(len(s))
-    for number, k in ((j, own), (before, fewer)):
-        for deal in range(DEALS if k else 0):
+    j, own, before, fewer = size_class(len(s), share)
+    edges = _size_edges[share]
+    for number, most in ((j, own), (before, fewer)):
+        for deal in range(DEALS if most >= 0 else 0):
+            # The same number for all that meet in the class; one part is the whole set.
+            k = _parts(most, edges[number])
             h = _mixed(s + np.uint64(deal))
             sums = np.zeros(k, np.uint64)
             part = (h % np.uint64(k)).astype(np.int64)
             np.add.at(sums, part, h)
             filled = np.bincount(part, minlength=k) > 0
             key = _mixed(_mixed(sums + np.uint64(number * DEALS + deal)) + np.arange(k, dtype=np.uint64))
-            if filled.all() or deal == DEALS - 1:
-                out.append(key)
+            enough = filled.sum() > most
+            out.append(key if deal == DEALS - 1 and not enough else key[filled])
+            if enough:
                 break
-            out.append(key[filled])
     return np.concatenate(out).view(np.int64)
 
 
@@ -128,14 +148,15 @@ def _set_id(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _links(inter: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    return SHARE[1] * inter >= SHARE[0] * (n + m - inter)
+def _links(inter: np.ndarray, n: np.ndarray, m: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    return share[1] * inter >= share[0] * (n + m - inter)
 
 
 class _Region:
     """Members of a region in one task; finds links between their components."""
 
-    def __init__(self, sets: list[np.ndarray], component: list[int]):
+    def __init__(self, sets: list[np.ndarray], component: list[int], share: tuple[int, int] = SHARE):
+        self.share = share
         self.n = np.array([len(s) for s in sets])
         self.ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
         self.at = np.concatenate([[0], np.cumsum(self.n)])
@@ -158,7 +179,7 @@ class _Region:
     def compare(self, x: int, members: np.ndarray) -> np.ndarray:
         """Distances of ``x`` to the members; those that link become one component with it."""
         inter = self.shared(x, members)
-        for y in members[_links(inter, self.n[x], self.n[members])]:
+        for y in members[_links(inter, self.n[x], self.n[members], self.share)]:
             if self.of[x] != self.of[y]:
                 self.found.append((x, int(y)))
                 self.of[self.of == self.of[y]] = self.of[x]
@@ -180,7 +201,7 @@ class _Region:
             far = np.minimum(far, distances[-1])
             at = int(far.argmax())
         d = np.array(distances)
-        reach = d <= d.min(0) + 2 * (1 - SHARE[0] / SHARE[1]) + 1e-9
+        reach = d <= d.min(0) + 2 * (1 - self.share[0] / self.share[1]) + 1e-9
         reach[:, pivots] = False  # already compared with all
         if reach.sum(1).max() > 0.8 * len(members) or reach.sum() > 2 * len(members):
             self.scan(members, d)
@@ -191,26 +212,27 @@ class _Region:
     def scan(self, members: np.ndarray, d: np.ndarray) -> None:
         """Each member outside the largest component against all others that the pivots' distances don't rule out."""
         names, counts = np.unique(self.of[members], return_counts=True)
-        window = 1 - SHARE[0] / SHARE[1] + 1e-9
+        least, whole = self.share
+        window = 1 - least / whole + 1e-9
         for i in np.flatnonzero(self.of[members] != names[counts.argmax()]):
             x = int(members[i])
             near = (np.abs(d - d[:, i : i + 1]) <= window).all(0) & (self.of[members] != self.of[x])
-            near &= (self.n[members] * SHARE[0] <= self.n[x] * SHARE[1]) & (self.n[x] * SHARE[0] <= self.n[members] * SHARE[1])
+            near &= (self.n[members] * least <= self.n[x] * whole) & (self.n[x] * least <= self.n[members] * whole)
             if near.any():
                 self.compare(x, members[near])
 
 
-def _points(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _points(docs: DataFrame, id_col: str, text_col: str, words: int, share: tuple[int, int]) -> DataFrame:
     """doc_id, n, point (hash of the set) and its parts, per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, point, parts = [], [], []
             for text in batch.column(1):
-                s = shingles(text.as_py() or "")
+                s = shingles(text.as_py() or "", words)
                 n.append(len(s))
                 point.append(_set_id(s) if len(s) else None)
-                parts.append(part_keys(s) if len(s) else np.zeros(0, np.int64))
+                parts.append(part_keys(s, share) if len(s) else np.zeros(0, np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(point, pa.int64()), keys], ["doc_id", "n", "point", "parts"])
@@ -219,7 +241,7 @@ def _points(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n long, point long, parts array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(point, n, s) of the wanted (doc_id, point)s, from the documents' texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +250,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
                 part = batch.slice(at, 256)
                 points, sets = [], []
                 for point, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    s = shingles(text.as_py() or "")
+                    s = shingles(text.as_py() or "", words)
                     if len(s) and _set_id(s) == point:  # rows of one id may differ
                         points.append(point)
                         sets.append(s)
@@ -242,7 +264,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
     return rows.mapInArrow(run, "point long, n long, s array<long>").dropDuplicates(["point"])
 
 
-def _tasks(rows: DataFrame) -> DataFrame:
+def _tasks(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Links in each task. rows: (region, task, point, component, pivot, s).
 
     With pivots, of the pivots to the members; without, of all members of different
@@ -250,7 +272,7 @@ def _tasks(rows: DataFrame) -> DataFrame:
     """
 
     def links(ids: list[int], component: list[int], pivot: list[bool], sets: list[np.ndarray]) -> pa.RecordBatch:
-        region = _Region(sets, component)
+        region = _Region(sets, component, share)
         everyone = np.arange(len(ids))
         for x in np.flatnonzero(pivot):
             region.compare(int(x), everyone)
@@ -279,7 +301,7 @@ def _weight() -> Column:
     return F.sum(F.col("n") + DOCUMENT)
 
 
-def _pivot_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _pivot_links(members: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Links to a few pivots of each region. members: (region, point, n)."""
     tasks = 4 * partitions(members.sparkSession)
     size = F.greatest(F.lit(BLOCK), F.col("w") / tasks)
@@ -290,14 +312,14 @@ def _pivot_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     own = own.select("region", "point", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("task"), F.lit(True).alias("pivot"))
     both = rows.unionByName(own).groupBy("region", "point", "task").agg(F.max("pivot").alias("pivot"))
     dealt = both.join(sets, "point").withColumn("component", F.col("point"))
-    return _tasks(dealt)
+    return _tasks(dealt, share)
 
 
-def _block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _block_links(members: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Links between components of a region. members: (region, point, n, component)."""
     side = int(np.ceil(np.sqrt(2 * partitions(members.sparkSession))))
-    share = members.groupBy("region", "component").agg(_weight().alias("w"))
-    sizes = share.groupBy("region").agg(F.max_by("component", "w").alias("main"), F.max("w").alias("in_main"), F.sum("w").alias("w"))
+    weights = members.groupBy("region", "component").agg(_weight().alias("w"))
+    sizes = weights.groupBy("region").agg(F.max_by("component", "w").alias("main"), F.max("w").alias("in_main"), F.sum("w").alias("w"))
     size = F.greatest(F.lit(BLOCK), F.col("w") / side)
     blocks = lambda w: F.greatest(F.lit(1), F.ceil(w / size)).cast("int")
     sizes = sizes.select("region", "main", blocks(F.col("in_main")).alias("nc"), blocks(F.col("w") - F.col("in_main")).alias("nr"))
@@ -312,12 +334,13 @@ def _block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     tasks = F.when(F.col("rest"), F.concat(F.when(F.col("nr") > 1, among).otherwise(none), to_main)).otherwise(to_rest)
     dealt = rows.select("region", F.explode(F.array_distinct(tasks)).alias("task"), "point", "component").join(sets, "point")
-    return _tasks(dealt.withColumn("pivot", F.lit(False)))
+    return _tasks(dealt.withColumn("pivot", F.lit(False)), share)
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id.
 
+    Sets of shingles of ``words`` words link from a similarity of share[0] / share[1] on.
     A document with fewer words than a shingle has one shingle of all of them; one
     without words or text has none and links with nothing, and its component is its
     own id.  Rows with equal sets are linked.  A null id is smaller than none; a
@@ -325,24 +348,24 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     ship(docs.sparkSession)
     ws = workspace(docs.sparkSession)
-    base = ws.save(_points(docs, id_col, text_col), "points")
+    base = ws.save(_points(docs, id_col, text_col, words, share), "points")
     key = Window.partitionBy("key").orderBy("point")
     keyed = base.select("point", F.explode("parts").alias("key"))
     chains = keyed.select("point", F.lag("point").over(key).alias("before")).filter("before <> point")
     regions = components(chains.select(F.col("point").alias("a"), F.col("before").alias("b")), ws)
     ids = base.filter("point is not null").groupBy("point").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     members = ws.save(regions.join(ids, regions["node"] == ids["point"]).select("point", "doc_id", "n", F.col("component").alias("region")), "members")
-    sets = ws.save(_sets(docs, members.select("doc_id", "point"), id_col, text_col), "sets").select("point", "s").hint("merge")
+    sets = ws.save(_sets(docs, members.select("doc_id", "point"), id_col, text_col, words), "sets").select("point", "s").hint("merge")
     weights = members.groupBy("region").agg(_weight().alias("w"))
     small = members.join(weights.filter(F.col("w") <= BLOCK), "region", "left_semi")
     large = members.join(weights.filter(F.col("w") > BLOCK), "region", "left_semi").select("region", "point", "n")
-    alone = _tasks(small.select("region", F.lit("").alias("task"), "point", F.col("point").alias("component"), F.lit(False).alias("pivot")).join(sets, "point"))
+    alone = _tasks(small.select("region", F.lit("").alias("task"), "point", F.col("point").alias("component"), F.lit(False).alias("pivot")).join(sets, "point"), share)
     links = ws.save(alone, "links")
-    near = ws.save(_pivot_links(large, sets), "pivot-links")
+    near = ws.save(_pivot_links(large, sets, share), "pivot-links")
     found = components(near, ws)
     named = ws.save(large.join(found, large["point"] == found["node"], "left").select("region", "point", "n", F.coalesce("component", "point").alias("component")), "named")
     open_ = named.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("region")
-    more = _block_links(named.join(open_, "region", "left_semi"), sets)
+    more = _block_links(named.join(open_, "region", "left_semi"), sets, share)
     final = ws.save(components(links.unionByName(near).unionByName(more), ws), "components")
     rows = base.select("doc_id", "n", "point").join(final, base["point"] == final["node"], "left").select("doc_id", "n", F.coalesce("component", "point").alias("c"))
     # Written, so that the join has plain shuffles on both sides and a large component is split; by a shuffle at every size.
@@ -351,12 +374,12 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, with all columns.
 
     Rows of one id stay or go together; rows with a null id stay only if no row of
     their component has one.
     """
-    found = linked(docs, id_col, text_col)
+    found = linked(docs, id_col, text_col, words, share)
     stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
     return docs.join(stays, F.col(id_col).cast("long").eqNullSafe(F.col("_stays")), "left_semi")

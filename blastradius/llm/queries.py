@@ -34,7 +34,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.linked(table(spark, sf_dir, "documents"))
+    return jaccard.linked(table(spark, sf_dir, "documents"), words=3, share=(90, 100))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

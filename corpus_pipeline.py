@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from blastradius.llm import exact_dedup, jaccard, packing, pii, quality
 from blastradius.llm.common import table, workspace
 
+#: Near copies have 80 of 100 shingles of five words in common.
+NEAR_WORDS, NEAR_SHARE = 5, (80, 100)
+
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
@@ -23,7 +26,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, words=NEAR_WORDS, share=NEAR_SHARE)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -197,6 +197,47 @@ def test_jaccard_join(docs, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.linked(docs).collect()) == want
 
 
+def test_near_copies_of_the_pipeline(spark):
+    rnd = random.Random(8)
+    texts = []
+    for n in (4, 6, 8, 12, 30, 60, 200, 1000):
+        for _ in range(3):
+            base = [f"v{rnd.randrange(10**6)}" for _ in range(n)]
+            texts.append(base)
+            for share in (0.005, 0.01, 0.02, 0.03):
+                copy = list(base)
+                for i in rnd.sample(range(n), max(1, round(share * n))):
+                    copy[i] = f"x{rnd.randrange(10**6)}"
+                texts += [copy, base[: n - max(1, round(5 * share * n))]]
+    texts = [" ".join(t) for t in texts]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in map(str.split, texts)]
+    group = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    want = sorted({min(i for i, h in enumerate(group) if h == g) for g in group})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == want
+
+
+def test_linked_sets_have_a_part_in_common():
+    rnd = random.Random(9)
+    for share in ((90, 100), (80, 100), (50, 100)):
+        for n in [*range(1, 60), 300, 2000]:
+            a = [rnd.getrandbits(63) for _ in range(n)]
+            for m in range(n * share[0] // share[1], n + 1):
+                if n > 60 and m % 40 or m == 0:
+                    continue
+                # As many replaced as the share allows.
+                swaps = max(k for k in range(m + 1) if share[1] * (m - k) >= share[0] * (n + k)) if share[1] * m >= share[0] * n else None
+                if swaps is None:
+                    continue
+                b = a[: m - swaps] + [rnd.getrandbits(63) for _ in range(swaps)]
+                keys = [set(jaccard.part_keys(np.array(sorted(x), np.uint64), share).tolist()) for x in (a, b)]
+                assert keys[0] & keys[1], (share, n, m, swaps)
+
+
 def test_regions_lose_no_link():
     rnd = random.Random(4)
     base = set(range(200))
