@@ -377,17 +377,45 @@ def connectors(m: Column) -> Column:
     return F.concat(F.transform(complete, described), literal)
 
 
-# The connection's brackets are followed five deep; the query's text may have any length.
-_FLAT = r'[^()"]|"[^"]*+"'
-_NESTED = rf"(?:{_FLAT})*+"
-for _ in range(5):
-    _NESTED = rf"(?:{_FLAT}|\({_NESTED}\))*+"
-NATIVE_QUERY = rf'Value\.NativeQuery\s*\(((?:[^,()"]|\({_NESTED}\)|"[^"]*+")*+),\s*"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
+NATIVE_QUERY = "Value.NativeQuery"
+# A text literal that opens an argument.
+OPENING_TEXT = r'^\s*"([^"\\]*+(?:\\[\s\S][^"\\]*+)*+)"'
+
+
+def _first_argument(call: Column) -> Column:
+    """{first, rest}: text up to the comma that ends the first argument, at any depth of nesting, and behind it; null without one."""
+    listed = F.regexp_replace(call, r"^\s*\(", "")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("comma"), F.lit(False).alias("over"))
+
+    def step(acc: Column, t: Column) -> Column:
+        opens, closes = t.isin("(", "[", "{"), t.isin(")", "]", "}")
+        comma = (t == ",") & (acc["depth"] == 0)
+        over = closes & (acc["depth"] == 0)
+        read = F.struct(
+            (acc["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"),
+            (acc["size"] + F.when(comma | over, 0).otherwise(F.length(t))).alias("size"),
+            comma.alias("comma"),
+            over.alias("over"),
+        )
+        return F.when(acc["comma"] | acc["over"], acc).otherwise(read)
+
+    end = F.aggregate(F.regexp_extract_all(listed, F.lit(TOKEN), F.lit(0)), start, step, lambda acc: F.when(acc["comma"], acc["size"]))
+    return F.when(end.isNotNull(), F.struct(F.substring(listed, F.lit(1), end).alias("first"), F.substring(listed, end + 2, F.length(listed)).alias("rest")))
 
 
 def native_queries(m: Column) -> Column:
     """{connection, sql} of every query text passed through to a source."""
-    return matches(m, NATIVE_QUERY, "connection", "sql")
+    parts = F.split(m, r"Value\.NativeQuery(?=\s*\()")
+    # A connection may hold further calls, so each is read on to the end of the text.
+    each = F.transform(
+        F.slice(parts, 2, 1 << 30),
+        lambda part, i: _first_argument(F.array_join(F.slice(parts, i + 2, F.size(parts)), NATIVE_QUERY)),
+    )
+    named = F.transform(
+        F.filter(each, lambda a: a.isNotNull() & a["rest"].rlike(OPENING_TEXT)),
+        lambda a: F.struct(a["first"].alias("connection"), F.regexp_extract(a["rest"], OPENING_TEXT, 1).alias("sql")),
+    )
+    return F.when(F.contains(m, F.lit(NATIVE_QUERY)), named).otherwise(F.array().cast("array<struct<connection:string,sql:string>>"))
 
 
 def parameter_names(m: Column) -> Column:

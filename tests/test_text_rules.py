@@ -148,3 +148,14 @@ def test_long_texts_do_not_exhaust_the_stack(spark):
     assert value(spark, T.native_queries, f'Value.NativeQuery(Sql.Database("s", "d"), "{sql}")')[0][1] == sql
     caption = 'c""' * 7_000
     assert len(value(spark, T.parameter_rows, f'{{("{caption}", NAMEOF(\'t\'[c]), 0)}}')) == 1
+
+
+def test_native_queries_at_any_depth(spark):
+    steps = 'Snowflake.Databases("s","w"){[Name="DB",Kind="Database"]}[Data]'
+    deep = "x"
+    for _ in range(12):
+        deep = f"f({deep}, {{1, [a = 2]}})"
+    for connection in (steps, deep, "a" * 20_000):
+        assert value(spark, T.native_queries, f'Value.NativeQuery({connection}, "select \\"1\\", 2", null, [EnableFolding=true])') == [(connection, 'select \\"1\\", 2')]
+    assert value(spark, T.native_queries, f'a = Value.NativeQuery ({steps}, #"P"), b = Value.NativeQuery(S, "x")') == [("S", "x")]
+    assert value(spark, T.native_queries, 'Value.NativeQuery(S)') == []
