@@ -1,10 +1,11 @@
 """Personal data, and the words that give it away.
 
-Base: addresses, numbers and phones by pattern.  Beyond them, words that stand near
-a protected value are weighed by what they tell about it: over the whole corpus,
+Base: addresses, numbers and phones by pattern.  Beyond them, all words of the
+documents that hold a protected value are weighed by what they tell about it: over the whole corpus,
 log(N n(e,t) / (n(e) n(t))) of a value ``e`` and a word ``t`` against log(N / n(e)),
 the information in the value itself.  A word with at least ``GENERALISE`` of it is
-generalised, one with at least ``REMOVE`` is taken out.  Counts are of documents;
+generalised, one with at least ``REMOVE`` is taken out, at every place in each document
+that holds the value.  Counts are of documents;
 ``t`` counts in all of them, and a pair seen in a single document is no estimate.
 
 Only DataFrame operations.
@@ -12,6 +13,7 @@ Only DataFrame operations.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
@@ -20,9 +22,7 @@ from pyspark.sql import functions as F
 from blastradius.llm.common import whole, workspace
 
 GENERALISE, REMOVE = 0.9, 0.99
-#: Code points on either side of a value in which a word is near it.
-NEAR = 60
-WORD = r"\p{L}{4,}"
+WORD = r"\p{L}+"
 KINDS = ("email", "ip", "card", "phone")
 LABELS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<WORD>", "drop": ""}
 # Patterns of the base kinds. They never step back over what they took, and a start inside a run is tried only after
@@ -91,21 +91,26 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _near(text: Column, spans: Column) -> Column:
-    """(value, word, start, end) of the words near each span that lie in no span."""
+def _words(text: Column) -> Column:
+    """Distinct words in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
 
-    def moved(value: Column, at: Column, part: Column) -> Column:
-        one = lambda w: F.struct(value.alias("value"), F.lower(w["value"]).alias("word"), (w["start"] + at).alias("start"), (w["end"] + at).alias("end"))
-        return F.transform(_placed(part, WORD, "term"), one)
 
-    def around(s: Column) -> Column:
-        low = F.greatest(s["start"] - NEAR, F.lit(0).cast("bigint"))
-        sides = [(low, F.substring(text, (low + 1).cast("int"), (s["start"] - low).cast("int"))), (s["end"], F.substring(text, (s["end"] + 1).cast("int"), F.lit(NEAR)))]
-        value = F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))
-        return F.concat(*[moved(value, at, part) for at, part in sides])
+def _marked(text: Column, kinds: Column, base: Column) -> Column:
+    """Spans of all places of the words in ``kinds`` (word to kind) that lie in no base span, by kind and start."""
+    pairs = F.arrays_zip(F.split(text, WORD).alias("g"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("m"))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("spans"))
 
-    words = F.flatten(F.transform(spans, around))
-    return F.array_distinct(F.filter(words, lambda w: ~F.exists(spans, lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"]))))
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + F.length(x["g"])
+        end = begin + F.length(x["m"])
+        word = F.lower(x["m"])
+        kind = F.try_element_at(kinds, word)
+        held = F.concat(acc["spans"], F.array(F.struct(kind.alias("kind"), begin.alias("start"), end.alias("end"), word.alias("value"))))
+        return F.struct(end.alias("at"), F.when(kind.isNotNull(), held).otherwise(acc["spans"]).alias("spans"))
+
+    spans = F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), start, step, lambda acc: acc["spans"])
+    return F.array_sort(F.filter(spans, lambda w: ~F.exists(base, lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"]))))
 
 
 class Findings:
@@ -115,23 +120,32 @@ class Findings:
         ws = workspace(docs.sparkSession)
         texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("_t"))
         spanned = texts.select("doc_id", F.xxhash64("_t").alias("_h"), "_t", base_spans(F.col("_t")).alias("base"))
-        near = F.when(F.size("base") > 0, _near(F.col("_t"), F.col("base")))
-        self.rows = ws.save(spanned.select("doc_id", "_h", "base", near.alias("near")), "base")
+        # Words inside a value are no words beside it.
+        words = F.when(F.size("base") > 0, _words(_replaced(F.col("_t"), F.col("base"), lambda kind: F.lit(" "))))
+        self.rows = ws.save(spanned.select("doc_id", "_h", "base", words.alias("words")), "base")
         key = [F.coalesce("doc_id", F.lit(-1 << 63)).alias("_d"), "_h"]
-        held = self.rows.filter("size(base) > 0").select(*key, "base", "near")
-        words = held.select("_d", "_h", F.explode("near").alias("w")).select("_d", "_h", "w.*")
-        pairs = words.select("value", "word", "_d", "_h").distinct().groupBy("value", "word").agg(F.count(F.lit(1)).alias("n_pair")).filter("n_pair > 1")
         value = F.explode(F.array_distinct(F.transform("base", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"])))))
-        values = held.select("_d", "_h", value.alias("value")).distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_value"))
-        everywhere = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_t"), F.lit(WORD), F.lit(0)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_word"))
-        n = F.lit(float(max(1, docs.count())))
-        told = F.log(n * F.col("n_pair") / (F.col("n_value") * F.col("n_word"))) / F.log(n / F.col("n_value"))
+        held = self.rows.filter("size(base) > 0")
+        n = float(max(1, docs.count()))
+        values = held.select(*key, value.alias("value")).distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_value"))
+        # A pair in two documents takes a value in two.
+        values = ws.save(values.filter((F.col("n_value") > 1) & (F.col("n_value") < n)), "values")
+        shared = held.select(*key, "words", value.alias("value")).join(values, "value").dropDuplicates(["_d", "_h", "value"])
+        shared = ws.save(shared, "shared")
+        pairs = shared.select("value", "n_value", F.explode("words").alias("word")).groupBy("value", "n_value", "word").agg(F.count(F.lit(1)).alias("n_pair")).filter("n_pair > 1")
+        everywhere = texts.select(F.explode(_words(F.col("_t"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_word"))
+        told = F.log(F.lit(n) * F.col("n_pair") / (F.col("n_value") * F.col("n_word"))) / F.log(F.lit(n) / F.col("n_value"))
         kind = F.when(told >= REMOVE, "drop").when(told >= GENERALISE, "term")
-        telling = pairs.join(values, "value").join(everywhere, "word").filter(F.col("n_value") < n).withColumn("kind", kind).filter("kind is not null").select("value", "word", "kind")
-        spans = words.join(telling, ["value", "word"]).groupBy("_d", "_h", "start", "end").agg(F.min("kind").alias("kind"), F.first("word").alias("word"))
-        span = F.struct("kind", F.col("start"), F.col("end"), F.col("word").alias("value"))
+        telling = pairs.join(everywhere, "word").withColumn("kind", kind).filter("kind is not null").select("value", "word", "kind")
+        marks = shared.select("_d", "_h", "value", F.explode("words").alias("word")).join(telling, ["value", "word"]).groupBy("_d", "_h", "word").agg(F.min("kind").alias("kind"))
+        marks = ws.save(marks.groupBy("_d", "_h").agg(F.map_from_entries(F.collect_list(F.struct("word", "kind"))).alias("kinds")), "marks")
+        some = F.lit(False)
+        for hint in _HINTS.values():
+            some = some | F.col("_t").rlike(hint)
+        placed = texts.filter(some).select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("_d"), F.xxhash64("_t").alias("_h"), "_t")
+        placed = placed.join(marks, ["_d", "_h"]).select("_d", "_h", _marked(F.col("_t"), F.col("kinds"), base_spans(F.col("_t"))).alias("terms"))
         #: One row a text with such words: ``terms``, by kind and start.
-        self.terms = ws.save(spans.groupBy("_d", "_h").agg(F.array_sort(F.collect_list(span)).alias("terms")), "terms")
+        self.terms = ws.save(placed.dropDuplicates(["_d", "_h"]), "terms")
 
 
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,15 +157,18 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     f = Findings(docs, id_col, text_col)
     d = F.coalesce("doc_id", F.lit(-1 << 63))
-    rows = f.rows.drop("near").withColumn("_d", d).join(f.terms, ["_d", "_h"], "left")
+    rows = f.rows.drop("words").withColumn("_d", d).join(f.terms, ["_d", "_h"], "left")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     spans = F.concat("base", F.coalesce("terms", F.array().cast(_SPAN)))
     return rows.select("doc_id", *[count(k) for k in KINDS], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(spans).alias("spans"))
 
 
-def _replaced(text: Column, spans: Column) -> Column:
+def _label(kind: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair]), kind)
+
+
+def _replaced(text: Column, spans: Column, label: Callable[[Column], Column] = _label) -> Column:
     """The text with each span as its label; spans that overlap are one."""
-    label = lambda kind: F.element_at(F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair]), kind)
     by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def step(acc: Column, s: Column) -> Column:

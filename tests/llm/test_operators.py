@@ -294,6 +294,17 @@ def test_licences(docs):
     assert tuple(row.select(*license.matched(row.s)).first()) == ("MIT", "|MitKeep|")
 
 
+def test_words_anywhere_in_a_document_give_away(spark):
+    gap = "word " * 40
+    texts = [f"Lee said {gap}jo@x.example and Zanzibar, {gap}zanzibar leeway", f"jo@x.example {gap}zanzibar and lee said", *["and said word leeway"] * 6]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean == {0: f" said {gap}<EMAIL> and , {gap} leeway", 1: f"<EMAIL> {gap} and  said", **dict.fromkeys(range(2, 8), texts[2])}
+    want = [("drop", m.start(), m.end()) for m in re.finditer(r"\b(Lee|[Zz]anzibar)\b", texts[0])]
+    spans = {r.doc_id: r.spans for r in pii.found(docs).collect()}
+    assert spans[0].split(",")[1:] == [":".join(map(str, x)) for x in want]
+
+
 MIT = """MIT License
 
 Copyright (c) 2020 A. Person
