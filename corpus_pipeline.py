@@ -45,7 +45,8 @@ STAGES = [
     ("best-fit packing", sequences),
 ]
 
-#: No stage but the second can be said in SQL; tests hold the whole against brute force.
+#: No stage but the second can be said in SQL. Tests hold the copies, near copies and base spans against brute force, and
+#: the packing against its rules; of the whole only that what the stages keep is packed.
 ORACLE_SQL = None
 
 
