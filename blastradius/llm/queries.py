@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blastradius.llm import exact_dedup, fingerprint, jaccard, language, license, negatives, packing, pieces, pii, quality, warc
+from blastradius.llm import divergence, exact_dedup, fingerprint, jaccard, language, license, negatives, packing, pieces, pii, quality, warc
 from blastradius.llm.common import table, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label))
@@ -72,6 +76,7 @@ QUERIES: dict[str, Query] = {
         op8_quality_classifier,
         op9_exact_dedup,
         op10_sentencepiece,
+        op12_source_divergence_audit,
         op13_hard_negative_mining,
     )
 }
@@ -90,6 +95,39 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n""",
+    "op12_source_divergence_audit": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+            FROM documents
+        ), w AS (
+            SELECT i, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+        ), k AS (
+            SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT i) >= 10
+        ), l AS (
+            SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY ALL
+        ), c AS (
+            SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL
+        ), g AS (
+            SELECT d.lang, d.source, coalesce(v, 0) AS v, coalesce(any_value(t.n), 0) AS n
+            FROM (SELECT DISTINCT lang, source FROM d) AS d LEFT JOIN l USING (lang)
+            LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) AS t USING (lang, source)
+            GROUP BY ALL
+        ), m AS (
+            SELECT g.lang, g.source, term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.n + 2 * g.v) AS p,
+                   1 + (1000000000::HUGEINT * (k.n + 2)) // (l.n + 2 * l.v) AS q
+            FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c USING (lang, source, term)
+        ), r AS (
+            SELECT x.lang, x.source, 'pair' AS part, y.source AS item,
+                   coalesce((SELECT sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) FROM m AS a JOIN m AS b USING (lang, term)
+                             WHERE a.lang = x.lang AND a.source = x.source AND b.source = y.source), 0) AS value
+            FROM g AS x JOIN g AS y ON x.lang = y.lang AND x.source <> y.source
+            UNION ALL
+            SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM m WHERE n > 0 AND p > q
+        )
+        SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER w ::INTEGER AS rank FROM r
+        WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, item)
+        QUALIFY part = 'pair' OR row_number() OVER w <= 10""",
     "op13_hard_negative_mining": """
         WITH r AS (
             SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
