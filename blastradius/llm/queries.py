@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blastradius.llm import divergence, exact_dedup, fingerprint, jaccard, language, license, negatives, packing, pieces, pii, quality, warc
+from blastradius.llm import divergence, exact_dedup, fingerprint, jaccard, language, license, negatives, packing, pieces, pii, quality, rules, warc
 from blastradius.llm.common import table, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Query] = {
         op8_quality_classifier,
         op9_exact_dedup,
         op10_sentencepiece,
+        op11_quality_rules,
         op12_source_divergence_audit,
         op13_hard_negative_mining,
     )
@@ -95,6 +100,63 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n""",
+    # A cutoff is certified by the sum of the binomial's terms, here from the logarithm of the gamma function.
+    "op11_quality_rules": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS i, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l
+            FROM documents
+        ), v AS (
+            SELECT i, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS t, p FROM (SELECT i, w, unnest(range(1, len(w) - 1)) AS p FROM d)
+        ), r AS (
+            SELECT i, count(DISTINCT p + o) AS n FROM (SELECT i, p FROM v QUALIFY count(*) OVER (PARTITION BY i, t) > 1), range(3) AS x(o) GROUP BY i
+        ), m AS (
+            SELECT doc_id, stratum, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+                   length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+                   coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines
+            FROM d LEFT JOIN r USING (i)
+        ), b AS (
+            SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
+        ), c AS (
+            SELECT rule, generate_subscripts(cuts, 1) AS place, unnest(cuts) AS cutoff FROM (VALUES
+                ('symbols', [400, 300, 200, 150, 100, 80, 60, 40, 30, 20, 10]),
+                ('repeated_lines', [900, 800, 700, 650, 600, 550, 500, 450, 400, 350, 300]),
+                ('repeated_words', [480, 450, 400, 350, 300, 250, 200, 150, 100]),
+                ('long_words', [20000, 16000, 14000, 12000, 11000, 10000, 9000, 8500, 8000]),
+                ('short_words', [1500, 2000, 2500, 2750, 3000, 3250])) AS t(rule, cuts)
+        ), y AS (
+            SELECT b.*, q > 0 AS good FROM b JOIN (SELECT doc_id, min(quality) AS q FROM labels GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed AND q IS NOT NULL
+        ), k AS (
+            SELECT stratum, rule, place, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND beyond) AS k, count(*) FILTER (NOT good AND beyond) AS bad, count(*) FILTER (NOT good) AS n_bad
+            FROM (SELECT stratum, good, rule, place, cutoff, CASE rule
+                    WHEN 'symbols' THEN 1000 * n_symbols > cutoff * word_chars WHEN 'repeated_lines' THEN 1000 * n_dup_lines > cutoff * n_lines
+                    WHEN 'repeated_words' THEN 1000 * n_repeat_words > cutoff * n_words WHEN 'long_words' THEN 1000 * word_chars > cutoff * n_words
+                    ELSE 1000 * word_chars < cutoff * n_words END AS beyond FROM y, c)
+            GROUP BY ALL
+        ), p AS (
+            SELECT k.*, 0.05 / (5 * (SELECT count(DISTINCT stratum) FROM y)) AS level, CASE WHEN k > n * 0.004 THEN 1 ELSE
+                list_sum(list_transform(range(k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.004) + (n - j) * ln(0.996)))) END AS probability
+            FROM k
+        ), s AS (
+            SELECT *, bool_and(probability <= level) OVER (PARTITION BY stratum, rule ORDER BY place) AS certified FROM p
+        ), f AS (
+            SELECT stratum, rule, cutoff FROM (
+                SELECT *, max(bad) OVER (PARTITION BY stratum, rule) AS most FROM s
+                WHERE certified AND bad > 0 AND bad::DOUBLE * n::DOUBLE >= 10 * k::DOUBLE * n_bad::DOUBLE
+            ) WHERE 100 * bad >= 98 * most QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY place) = 1
+        ), z AS (
+            SELECT stratum, any_value(cutoff) FILTER (rule = 'symbols') AS a, any_value(cutoff) FILTER (rule = 'repeated_lines') AS b, any_value(cutoff) FILTER (rule = 'repeated_words') AS c,
+                   any_value(cutoff) FILTER (rule = 'long_words') AS d, any_value(cutoff) FILTER (rule = 'short_words') AS e FROM f GROUP BY stratum
+        ), t AS (
+            SELECT b.* EXCLUDE stratum, CASE WHEN base_failed THEN 'base' ELSE concat_ws(',', CASE WHEN 1000 * n_symbols > a * word_chars THEN 'symbols' END,
+                CASE WHEN 1000 * n_dup_lines > z.b * n_lines THEN 'repeated_lines' END, CASE WHEN 1000 * n_repeat_words > c * n_words THEN 'repeated_words' END,
+                CASE WHEN 1000 * word_chars > d * n_words THEN 'long_words' END, CASE WHEN 1000 * word_chars < e * n_words THEN 'short_words' END) END AS rejected_by
+            FROM b LEFT JOIN z USING (stratum)
+        )
+        SELECT *, rejected_by = '' AS kept FROM t""",
     "op12_source_divergence_audit": r"""
         WITH d AS (
             SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
