@@ -11,16 +11,16 @@ again, until it fits one partition or the rounds are over.
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
+from blastradius.llm.bpe import WordIds
 from blastradius.llm.common import ship, workspace
 
 CAPACITY, END_ID = 2048, 0
@@ -29,69 +29,73 @@ PER_PARTITION = 50_000
 ROUNDS = 6
 #: Words a worker remembers before it starts anew.
 MEMORY = 500_000
-_MARKS = ".,!?;:|"
-#: White space to Python's split() only.
-_PYTHON_SPACE = "\x1c\x1d\x1e\x1f"
-_ASCII_SPACE = re.compile(r"[ \t-\r]+")
+#: Bytes of text whose distinct words are looked up together.
+CHUNK = 4 << 20
 _COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 _ITEM = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class WordIds(dict):
-    """White-space separated word -> its ids as bytes.
-
-    The tokenizer drops white space and looks at nothing beyond it, so a text's ids
-    are those of its words.  A plain word is looked up in lower case, and without
-    the mark at its end, which are pieces of their own to it.
-    """
-
-    def __init__(self, path: str):
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMORY:
-            self.clear()
-        if word.isascii() and not word.islower() and word.isalpha():
-            value = self[word.lower()]
-        elif len(word) > 1 and word[-1] in _MARKS and word[:-1].isalpha() and word[-2] < "\u0100":
-            value = self[word[:-1]] + self[word[-1]]
-        else:
-            value = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = value
-        return value
-
-    def ids(self, text: str) -> np.ndarray:
-        apart = filter(None, _ASCII_SPACE.split(text)) if any(c in text for c in _PYTHON_SPACE) else text.split()
-        return np.frombuffer(b"".join(map(self.__getitem__, apart)), "<u4")
-
-
 _words: dict[str, WordIds] = {}
 
 
 def word_ids(path: str) -> WordIds:
     if path not in _words:
-        _words[path] = WordIds(path)
+        _words[path] = WordIds(path, MEMORY)
     return _words[path]
 
 
+def token_ids(words: WordIds, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, each text's followed by ``END_ID``; where each text's ids begin, and the end).
+
+    Each distinct word of the texts is looked up once.
+    """
+    apart = pc.ascii_split_whitespace(texts)
+    bounds = apart.offsets.to_numpy().astype(np.int64) - apart.offsets[0].as_py()
+    coded = apart.flatten().dictionary_encode()
+    found = words.of(coded.dictionary.to_pylist())
+    found.append(np.array([END_ID], "<u4").tobytes())
+    sizes = np.array([len(w) for w in found], np.int64) // 4
+    flat, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+    each = np.insert(coded.indices.to_numpy().astype(np.int64), bounds[1:], len(found) - 1)
+    counts = sizes[each]
+    ends = np.cumsum(counts)
+    ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[each] - (ends - counts), counts)]
+    starts = np.concatenate([[0], ends[bounds[1:] + np.arange(len(texts))]]) if len(texts) else np.zeros(1, np.int64)
+    return ids, starts
+
+
+def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows of texts of about ``CHUNK`` bytes; a longer text comes alone, whole."""
+    begin, size = 0, 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if i > begin and size + n > CHUNK:
+            yield begin, i
+            begin, size = i, 0
+        size += n
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece; a document's ids end with ``END_ID``."""
 
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = word_ids(path), np.array([END_ID], "<u4")
+        words = word_ids(path)
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.concatenate([words.ids(text.as_py() or ""), end])
-                for n, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    for column, value in zip(out, (doc, n, start, len(part), zlib.crc32(part.tobytes())), strict=True):
-                        column.append(value)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            texts = pc.fill_null(batch.column(1), "")
+            for begin, end in _runs(texts):
+                out: list[list] = [[], [], [], [], []]
+                ids, starts = token_ids(words, texts.slice(begin, end - begin))
+                raw = memoryview(ids.tobytes())
+                for doc, low, high in zip(batch.column(0).slice(begin, end - begin).to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                    for n, at in enumerate(range(low, high, capacity)):
+                        stop = min(high, at + capacity)
+                        for column, value in zip(out, (doc, n, at - low, stop - at, zlib.crc32(raw[4 * at : 4 * stop])), strict=True):
+                            column.append(value)
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, _ITEM)
 
