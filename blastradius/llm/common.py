@@ -42,6 +42,26 @@ def workspace(spark: SparkSession) -> Workspace:
     return Workspace(spark)
 
 
+class Tables(Workspace):
+    """A workspace whose tables can be deleted one by one, once nothing that is still to run reads them."""
+
+    def __init__(self, spark: SparkSession):
+        super().__init__(spark)
+        self._paths: list[tuple[DataFrame, str]] = []
+
+    def save_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        out, rows = super().save_counted(df, name)
+        self._paths.append((out, f"{self.root}/{self._n:03d}-{name}"))
+        return out, rows
+
+    def release(self, *tables: DataFrame) -> None:
+        """Deletes tables that ``save`` has returned."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        for table in tables:
+            path = hadoop(next(p for t, p in self._paths if t is table))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

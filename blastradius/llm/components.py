@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blastradius.workspace import Workspace
+from blastradius.llm.common import Tables
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,12 +26,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, ws: Workspace) -> DataFrame:
+def components(edges: DataFrame, ws: Tables) -> DataFrame:
     """(node, component) of every node with an edge; ``edges``: two long columns a, b in any order."""
     now = ws.save(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
     while True:
-        now = ws.save(_star(_star(now, True), False), "stars")
+        before, now = now, ws.save(_star(_star(now, True), False), "stars")
+        ws.release(before)
         seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if seen == state or not seen[0]:
             break

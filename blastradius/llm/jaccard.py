@@ -6,12 +6,16 @@ others but their own few near copies, so the distance to a document tells nothin
 about most of the others, and regions round sampled documents would hold everything.
 The first regions are therefore taken in a small part of the space: the shingles are
 dealt by hash to more classes than the allowed difference, distances in the classes
-add up to the distance, and so two linked sets are at distance 0 in some class.  A
-region is the documents that have one part in common; sets of up to 1 / t times the
-size meet as each size class is also dealt with its neighbour's classes.
+add up to the distance, and so two linked sets are at distance 0 in some class.  They
+are so in more than one: with f classes filled and a difference of at most d, in f - d.
+So a set needs to be met only in the d + 1 classes where it has the fewest neighbours:
+of the classes that two linked sets share, the least crowded one is among these for
+both.  A passage that many documents hold makes a few crowded classes, which go, and
+sets that share no more than these never meet.  Sets of up to 1 / t times the size meet
+as each size class is also dealt with its neighbour's classes.
 
-Parts in common make regions: a region is what they connect.  All its members are
-near one another, so inside it the triangle inequality does work:
+Documents that meet make regions.  All members of a region are near one another, so
+inside it the triangle inequality does work:
 
 * a small region is joined recursively in one task: pivots make Voronoi cells, a
   member is also copied to each cell whose pivot is at most twice the threshold
@@ -38,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blastradius.llm.common import partitions, ship, workspace
+from blastradius.llm.common import Tables, partitions, ship
 from blastradius.llm.components import components
 
 #: Words of a shingle and least similarity unless the caller names others: sets link when
@@ -51,6 +55,10 @@ PIVOTS = 8
 _MEMORY = 200_000
 _SMALL, _CELLS = 24, 4
 DEALS = 3
+#: More than the deals of a set, over both size classes.
+SPARE = 8
+#: Sets drawn to find classes that are shared by very many, and the share of them that makes one so.
+DRAWN, HOT = 20_000, 100
 
 
 class _Hashes(dict):
@@ -116,18 +124,20 @@ def _parts(most: int, least: int) -> int:
     return max(1, 2 * most)
 
 
-def part_keys(s: np.ndarray, share: tuple[int, int] = SHARE) -> np.ndarray:
-    """Hash of each part of a set, for its own size class and the one before.
+def part_keys(s: np.ndarray, share: tuple[int, int] = SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each part of a set, for its own size class and the one before; ``SPARE`` times the parts that the set can spare, and the number of its deal).
+
+    A set can spare all but as many of a deal's parts as the allowed difference and one more.
 
     Parts that are empty are alike in all sets and don't count.  A set that fills more
     parts than the allowed difference has one of them in common with each set it links
     to.  One that doesn't is dealt anew by another hash, up to ``DEALS`` times; only the
     last deal's empty parts count.  Of two linked sets both are dealt anew or one fills enough.
     """
-    out = []
+    out, spare = [], []
     j, own, before, fewer = size_class(len(s), share)
     edges = _size_edges[share]
-    for number, most in ((j, own), (before, fewer)):
+    for place, (number, most) in enumerate(((j, own), (before, fewer))):
         for deal in range(DEALS if most >= 0 else 0):
             # The same number for all that meet in the class; one part is the whole set.
             k = _parts(most, edges[number])
@@ -139,9 +149,10 @@ def part_keys(s: np.ndarray, share: tuple[int, int] = SHARE) -> np.ndarray:
             key = _mixed(_mixed(sums + np.uint64(number * DEALS + deal)) + np.arange(k, dtype=np.uint64))
             enough = filled.sum() > most
             out.append(key if deal == DEALS - 1 and not enough else key[filled])
+            spare.append(np.full(len(out[-1]), max(0, len(out[-1]) - most - 1) * SPARE + place * DEALS + deal, np.int64))
             if enough:
                 break
-    return np.concatenate(out).view(np.int64)
+    return np.concatenate(out).view(np.int64), np.concatenate(spare)
 
 
 def _set_id(s: np.ndarray) -> int:
@@ -223,22 +234,26 @@ class _Region:
 
 
 def _points(docs: DataFrame, id_col: str, text_col: str, words: int, share: tuple[int, int]) -> DataFrame:
-    """doc_id, n, point (hash of the set) and its parts, per row."""
+    """doc_id, n, point (hash of the set), its parts and what it can spare of them, per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, point, parts = [], [], []
-            for text in batch.column(1):
-                s = shingles(text.as_py() or "", words)
-                n.append(len(s))
-                point.append(_set_id(s) if len(s) else None)
-                parts.append(part_keys(s, share) if len(s) else np.zeros(0, np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(point, pa.int64()), keys], ["doc_id", "n", "point", "parts"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                n, point, parts, spare = [], [], [], []
+                for text in part.column(1):
+                    s = shingles(text.as_py() or "", words)
+                    n.append(len(s))
+                    point.append(_set_id(s) if len(s) else None)
+                    keys, more = part_keys(s, share) if len(s) else (np.zeros(0, np.int64),) * 2
+                    parts.append(keys)
+                    spare.append(more)
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x), kind)) for x, kind in ((parts, pa.int64()), (spare, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(point, pa.int64()), *lists], ["doc_id", "n", "point", "parts", "spare"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, point long, parts array<long>")
+    return rows.mapInArrow(run, "doc_id long, n long, point long, parts array<long>, spare array<int>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -297,6 +312,31 @@ def _tasks(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
     return dealt.repartition(partitions(rows.sparkSession), "region", "task").sortWithinPartitions("region", "task").mapInArrow(run, "a long, b long")
 
 
+def _meetings(base: DataFrame, ws: Tables) -> DataFrame:
+    """(a, b): points that are in one part which both can't spare; each to the smallest point there."""
+    spark = base.sparkSession
+    keyed = base.filter("point is not null").select("point", F.explode(F.arrays_zip("parts", "spare")).alias("x")).select("point", F.col("x.parts").alias("key"), F.col("x.spare").alias("spare"))
+    # Parts of very many rows are few, which the draw bounds; they are counted before they are shuffled.
+    rows = base.count()
+    drawn = keyed if rows <= DRAWN else base.sample(DRAWN / rows, seed=7).filter("point is not null").select(F.explode("parts").alias("key"))
+    hot = drawn.groupBy("key").count().filter(F.col("count") > min(rows, DRAWN) / HOT).select("key").collect()
+    hot = F.broadcast(spark.createDataFrame(hot, "key long"))
+    key = Window.partitionBy("key")
+    few = keyed.join(hot, "key", "left_anti").select("key", "point", "spare", F.count(F.lit(1)).over(key).alias("crowd"), F.min("point").over(key).alias("lo"), F.max("point").over(key).alias("hi"))
+    many = ws.save(keyed.join(hot, "key", "left_semi").select("key", "point", "spare").distinct(), "hot")
+    counts = many.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"), F.min("point").alias("lo"), F.max("point").alias("hi"))
+    many = many.join(F.broadcast(counts), "key").select("key", "point", "spare", "crowd", "lo", "hi")
+    crowded = ws.save(few.unionByName(many).filter("lo <> hi").select("key", "point", "spare", "crowd").distinct(), "crowded")
+    # Any order of the parts will do that is the same for all sets; the most crowded ones go.
+    order = Window.partitionBy("point", "spare").orderBy(F.col("crowd").desc(), "key")
+    kept = crowded.withColumn("at", F.row_number().over(order)).filter(F.col("at") > F.floor(F.col("spare") / SPARE)).select("key", "point")
+    kept = ws.save(kept.distinct(), "kept")
+    least = kept.groupBy("key").agg(F.min("point").alias("b"))
+    edges = ws.save(kept.join(least, "key").filter("point <> b").select(F.col("point").alias("a"), "b").distinct(), "meetings")
+    ws.release(crowded, kept)
+    return edges
+
+
 def _weight() -> Column:
     return F.sum(F.col("n") + DOCUMENT)
 
@@ -347,12 +387,13 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     component of null ids only has a null id.  An empty table gives no rows.
     """
     ship(docs.sparkSession)
-    ws = workspace(docs.sparkSession)
-    base = ws.save(_points(docs, id_col, text_col, words, share), "points")
-    key = Window.partitionBy("key").orderBy("point")
-    keyed = base.select("point", F.explode("parts").alias("key"))
-    chains = keyed.select("point", F.lag("point").over(key).alias("before")).filter("before <> point")
-    regions = components(chains.select(F.col("point").alias("a"), F.col("before").alias("b")), ws)
+    ws = Tables(docs.sparkSession)
+    parted = ws.save(_points(docs, id_col, text_col, words, share), "points")
+    meetings = _meetings(parted, ws)
+    base = ws.save(parted.select("doc_id", "n", "point"), "rows")
+    ws.release(parted)
+    regions = components(meetings, ws)
+    ws.release(meetings)
     ids = base.filter("point is not null").groupBy("point").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     members = ws.save(regions.join(ids, regions["node"] == ids["point"]).select("point", "doc_id", "n", F.col("component").alias("region")), "members")
     sets = ws.save(_sets(docs, members.select("doc_id", "point"), id_col, text_col, words), "sets").select("point", "s").hint("merge")

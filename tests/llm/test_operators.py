@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -235,8 +236,16 @@ def test_linked_sets_have_a_part_in_common():
                 if swaps is None:
                     continue
                 b = a[: m - swaps] + [rnd.getrandbits(63) for _ in range(swaps)]
-                keys = [set(jaccard.part_keys(np.array(sorted(x), np.uint64), share).tolist()) for x in (a, b)]
+                parts = [jaccard.part_keys(np.array(sorted(x), np.uint64), share) for x in (a, b)]
+                keys = [set(p.tolist()) for p, _ in parts]
                 assert keys[0] & keys[1], (share, n, m, swaps)
+                # Whichever parts are the most crowded, one that both keep is left.
+                for order in (1, 2, 3):
+                    kept = []
+                    for p, spare in parts:
+                        held = [(zlib.crc32(b"%d:%d" % (order, k)), k, x) for k, x in zip(p.tolist(), spare.tolist(), strict=True)]
+                        kept.append({k for x in set(spare.tolist()) for _, k, _ in sorted((h for h in held if h[2] == x), reverse=True)[x // jaccard.SPARE :]})
+                    assert kept[0] & kept[1], (share, n, m, swaps)
 
 
 def test_regions_lose_no_link():
