@@ -6,6 +6,8 @@ de-duplicated in place, so extraction never shuffles.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,41 +133,6 @@ def from_the_end(path: Column, schema: Column) -> Column:
     )
 
 
-def calls(m: Column, function: str) -> Column:
-    """Text after every call of ``function``, each up to the next call."""
-    return F.slice(F.split(m, function + r"\b"), 2, 1 << 30)
-
-
-def renames(m: Column) -> Column:
-    """Distinct {source_name, model_name} pairs of all rename steps."""
-    lists = F.transform(
-        calls(m, r"Table\.RenameColumns"),
-        lambda seg: matches(
-            F.regexp_replace(seg, r"(?s)^[^,]*,[^{]*", ""),
-            r'\{\s*"([^"]+)"\s*,\s*"([^"]+)"\s*\}',
-            "source_name",
-            "model_name",
-        ),
-    )
-    return F.array_distinct(F.flatten(lists))
-
-
-STRING_LIST = r"(?s)^[^,]*,[^{]*\{([^}]*)\}"
-
-
-def final_projection(m: Column) -> Column:
-    """Columns of the last select step less those removed; null without a select step."""
-    last = F.try_element_at(calls(m, r"Table\.SelectColumns"), F.lit(-1))
-    kept = all_of(F.regexp_extract(last, STRING_LIST, 1), r'"([^"]+)"')
-    removed = F.flatten(
-        F.transform(
-            calls(m, r"Table\.RemoveColumns"),
-            lambda seg: all_of(F.regexp_extract(seg, STRING_LIST, 1), r'"([^"]+)"'),
-        )
-    )
-    return F.when(F.size(kept) > 0, F.filter(kept, lambda c: ~F.array_contains(removed, c)))
-
-
 # What an argument list is made of: string literals, brackets, commas, and runs of anything else.
 TOKEN = r'"[^"]*+(?:""[^"]*+)*+"|[(){}\[\],]|[^"(){}\[\],]++|"'
 ADD_COLUMN = "Table.AddColumn"
@@ -200,20 +167,52 @@ def _arguments(call: Column) -> Column:
     )
 
 
+def calls(m: Column, function: str, read: Callable[[Column], Column]) -> Column:
+    """What ``read`` makes of the argument list of every call of ``function``; null where it finds none.
+
+    A list mostly ends before the next call, and then only the text up to there is
+    read.  One that holds further calls is read on to the end of the text.
+    """
+    parts = F.split(m, function.replace(".", r"\.") + r"(?=\s*\()")
+
+    def one(part: Column, i: Column) -> Column:
+        return F.coalesce(read(part), read(F.array_join(F.slice(parts, i + 2, F.size(parts)), function)))
+
+    return F.transform(F.slice(parts, 2, 1 << 30), one)
+
+
+# A pair of old and new name, and a text literal, quotes inside it doubled.
+RENAME_PAIR = r'\{\s*"((?:[^"]|"")++)"\s*,\s*"((?:[^"]|"")++)"\s*\}'
+TEXT_LITERAL = r'"((?:[^"]|"")++)"'
+
+
+def _plain(literal: Column) -> Column:
+    return F.replace(literal, F.lit('""'), F.lit('"'))
+
+
+def renames(m: Column) -> Column:
+    """Distinct {source_name, model_name} pairs of all rename steps; each step has the pairs of its own list."""
+    lists = F.transform(calls(m, "Table.RenameColumns", _arguments), lambda a: matches(F.coalesce(a["second"], F.lit("")), RENAME_PAIR, "old", "new"))
+    pairs = F.transform(F.flatten(lists), lambda p: F.struct(_plain(p["old"]).alias("source_name"), _plain(p["new"]).alias("model_name")))
+    return F.array_distinct(pairs)
+
+
+def final_projection(m: Column) -> Column:
+    """Columns of the last select step less those removed; null without a select step."""
+    named = lambda a: F.transform(all_of(F.coalesce(a["second"], F.lit("")), TEXT_LITERAL), _plain)
+    kept = named(F.try_element_at(calls(m, "Table.SelectColumns", _arguments), F.lit(-1)))
+    removed = F.flatten(F.transform(calls(m, "Table.RemoveColumns", _arguments), named))
+    return F.when(F.size(kept) > 0, F.filter(kept, lambda c: ~F.array_contains(removed, c)))
+
+
 # A field read by plain or quoted name.
 FIELD_READ = r'\[\s*(?:#"((?:[^"]|"")*)"|([A-Za-z_][A-Za-z0-9_ .]*?))\s*\]'
 
 
 def added_columns(m: Column) -> Column:
     """{col, reads}: columns computed in the query and the fields each one reads."""
-    parts = F.split(m, r"Table\.AddColumn(?=\s*\()")
-    # A call's list may hold further calls, so each is read on to the end of the text.
-    each = F.transform(
-        F.slice(parts, 2, 1 << 30),
-        lambda part, i: _arguments(F.array_join(F.slice(parts, i + 2, F.size(parts)), ADD_COLUMN)),
-    )
     named = F.transform(
-        F.filter(each, lambda a: a.isNotNull() & a["second"].rlike(r'^\s*"[\s\S]*"\s*$')),
+        F.filter(calls(m, ADD_COLUMN, _arguments), lambda a: a.isNotNull() & a["second"].rlike(r'^\s*"[\s\S]*"\s*$')),
         lambda a: F.struct(F.regexp_extract(a["second"], r'"([\s\S]*)"', 1).alias("col"), a["rest"].alias("body")),
     )
     found = F.when(F.contains(m, F.lit(ADD_COLUMN)), named).otherwise(F.array().cast("array<struct<col:string,body:string>>"))
@@ -405,14 +404,8 @@ def _first_argument(call: Column) -> Column:
 
 def native_queries(m: Column) -> Column:
     """{connection, sql} of every query text passed through to a source."""
-    parts = F.split(m, r"Value\.NativeQuery(?=\s*\()")
-    # A connection may hold further calls, so each is read on to the end of the text.
-    each = F.transform(
-        F.slice(parts, 2, 1 << 30),
-        lambda part, i: _first_argument(F.array_join(F.slice(parts, i + 2, F.size(parts)), NATIVE_QUERY)),
-    )
     named = F.transform(
-        F.filter(each, lambda a: a.isNotNull() & a["rest"].rlike(OPENING_TEXT)),
+        F.filter(calls(m, NATIVE_QUERY, _first_argument), lambda a: a.isNotNull() & a["rest"].rlike(OPENING_TEXT)),
         lambda a: F.struct(a["first"].alias("connection"), F.regexp_extract(a["rest"], OPENING_TEXT, 1).alias("sql")),
     )
     return F.when(F.contains(m, F.lit(NATIVE_QUERY)), named).otherwise(F.array().cast("array<struct<connection:string,sql:string>>"))

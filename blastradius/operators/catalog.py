@@ -385,6 +385,20 @@ def column_visuals(f: Formulas, uses: DataFrame, columns: DataFrame, by_measure:
     return first.select("tbl", "col", "page", "visual", F.col("first.by").alias("via"))
 
 
+def partial_key_leads(left: DataFrame, right: DataFrame) -> DataFrame:
+    """pid, source_key: rows of (pid, low, s) and (low, s, source_key) of one name whose schemas agree or are not given.
+
+    Rows that both name a schema meet on name and schema, so a name in very many
+    schemas is no product.  A row without one meets the rows of its name by
+    definition; of these, each source counts once a name.
+    """
+    both = left.where(F.col("s").isNotNull()).join(right.where(F.col("s").isNotNull()), ["low", "s"]).select("pid", "source_key")
+    open_sources = right.where(F.col("s").isNull()).select("low", "source_key").distinct()
+    any_schema = left.where(F.col("s").isNotNull()).join(open_sources, "low").select("pid", "source_key")
+    of_name = left.where(F.col("s").isNull()).join(right.select("low", "source_key").distinct(), "low").select("pid", "source_key")
+    return union_all([both, any_schema, of_name]).distinct()
+
+
 class Consumers:
     """What the BI model builds on every source: tables, measures, visuals, pages."""
 
@@ -444,13 +458,8 @@ class Consumers:
         key = ["sch", "phys_table"]
         named = at.groupBy(*key).agg(F.min("tbl").alias("model_table")).withColumn("pid", F.struct(*key))
         left = named.select("pid", F.lower("phys_table").alias("low"), F.lower("sch").alias("s"))
-        right = at.select(F.lower("phys_table").alias("low"), F.lower("sch").alias("s2"), "source_key").distinct()
-        leads = (
-            left.join(right, "low")
-            .where(F.col("s").isNull() | F.col("s2").isNull() | (F.col("s") == F.col("s2")))
-            .select("pid", "source_key")
-            .distinct()
-        )
+        right = at.select(F.lower("phys_table").alias("low"), F.lower("sch").alias("s"), "source_key").distinct()
+        leads = partial_key_leads(left, right)
         several = leads.groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
         one = leads.join(several.where(F.col("n") == 1), "pid").join(self.counts(), "source_key").select("pid", "visuals", "measures")
         many = leads.join(several.where(F.col("n") > 1), "pid")

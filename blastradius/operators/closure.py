@@ -94,6 +94,8 @@ def pairs(found: DataFrame, *carry: str) -> DataFrame:
 # --- The column-carrying graph ------------------------------------------------
 
 CONTAINMENT = "page_to_visual"
+#: Nodes without a way out that a block holds on average; the longest list of one position has not many more.
+ENDS = 1 << 20
 KIND_CODES = {"source": 0, "model": 1, "pbiTable": 2, "measure": 3, "visual": 4, "page": 5}
 
 
@@ -242,6 +244,44 @@ class StateGraph:
             self._walked = closure(self.ws, inner, carry=("nid", "kind"), name="impact", written=True)
         return self._walked
 
+    def ends(self) -> DataFrame:
+        """src, block, kind, ends: the nodes without a way out that each position leads to, as lists of {nid, ew}.
+
+        Ends are dealt to blocks, so a list is bounded however many a position
+        has.  Ends that share their smallest source share a block where it is not
+        one of very many ends, which keeps a position's lists few.
+        """
+        last = self.moves.where(F.col("sink")).groupBy("src", "nid", "kind").agg(F.max("w").alias("ew"))
+        homes = last.groupBy("nid").agg(F.min("src").alias("home"))
+        sizes = homes.groupBy("home").agg(F.count(F.lit(1)).alias("n"))
+        blocks = max(1, -(-homes.count() // ENDS))
+        salt = F.pmod(F.xxhash64("nid"), F.ceil(F.col("n") / (ENDS // 4)).cast("bigint"))
+        dealt = homes.join(sizes, "home").select("nid", F.pmod(F.xxhash64("home", salt), F.lit(blocks)).cast("int").alias("block"))
+        return self.ws.save(
+            last.join(dealt, "nid").groupBy("src", "block", "kind").agg(F.collect_list(F.struct("nid", "ew")).alias("ends")), "ends"
+        )
+
+    def counted(self, counts: Sequence[Column]) -> DataFrame:
+        """origin and ``counts`` over (kind, w) of each node downstream of it.
+
+        A row that is shuffled is a position on the way with the list of its ends,
+        dealt by origin and block; pairs of origin and end exist inside a task only.
+        """
+        walked = self.walked()
+        inner = walked.groupBy("origin", "nid").agg(F.max("w").alias("w"), F.max("kind").alias("kind"))
+        ends = self.ends()
+        at = union_all(
+            [
+                walked.select("origin", F.col("v").alias("src"), "w"),
+                self.moves.where(F.col("sink")).select(F.col("src").alias("origin"), "src", F.lit(1).cast("tinyint").alias("w")).distinct(),
+            ]
+        )
+        lists = at.join(ends, "src").select("origin", "block", "kind", "w", "ends").repartition("origin", "block")
+        pairs = lists.select("origin", "block", "kind", "w", F.explode("ends").alias("e"))
+        outer = pairs.groupBy("origin", "block", "kind", F.col("e.nid").alias("nid")).agg(F.max(F.least("w", "e.ew")).alias("w"))
+        parts = inner.select("origin", "kind", "w").unionByName(outer.select("origin", "kind", "w"))
+        return parts.groupBy("origin").agg(*counts)
+
     def reached(self) -> DataFrame:
         """origin, nid, kind, w for every node downstream of every position.
 

@@ -42,6 +42,16 @@ def delegated(queries: DataFrame, shared: DataFrame) -> DataFrame:
     return queries.withColumn("ref", T.shared_ref(F.col("m"))).join(bodies, "ref", "left")
 
 
+def connectors(queries: DataFrame, shared: DataFrame) -> DataFrame:
+    """tbl and the sources its query opens; a database is also parameterized where the query names a declared parameter anywhere."""
+    declared = shared.where(T.parameter_value(F.col("expr")).isNotNull()).select(F.col("name").alias("param"))
+    named = values_of(queries, ["tbl"], T.parameter_names(F.col("m")), "param").join(declared, "param", "left_semi")
+    named = named.select("tbl").distinct().withColumn("names_one", F.lit(True))
+    rows = rows_of(queries, ["tbl"], T.connectors(F.col("m"))).join(named, "tbl", "left")
+    anywhere = (F.col("kind") == "SQL Server") & F.coalesce("names_one", F.lit(False))
+    return rows.withColumn("parameterized", F.col("parameterized") | anywhere).drop("names_one")
+
+
 def table_sources(queries: DataFrame, shared: DataFrame) -> DataFrame:
     """tbl, source_key and the source's parts, one row per table and source.
 

@@ -43,10 +43,11 @@ def impact(
     One row per node and per declared column, zero rows included.
     """
     graph = graph or StateGraph(ws, nodes, edges, columns)
-    per_node = graph.reached().groupBy("origin", "nid").agg(F.max("w").alias("w"), F.max("kind").alias("kind"))
-    counts = per_node.groupBy("origin").agg(
-        *[F.count_if(F.col("kind") == KIND_CODES[k]).alias(n) for n, k in COUNTS.items()],
-        F.count_if((F.col("kind") == KIND_CODES["visual"]) & (F.col("w") == 1)).alias("exact"),
+    counts = graph.counted(
+        [
+            *[F.count_if(F.col("kind") == KIND_CODES[k]).alias(n) for n, k in COUNTS.items()],
+            F.count_if((F.col("kind") == KIND_CODES["visual"]) & (F.col("w") == 1)).alias("exact"),
+        ]
     )
     out = graph.scopes(columns).join(counts, "origin", "left").select(
         "id",

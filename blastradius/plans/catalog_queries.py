@@ -101,7 +101,7 @@ fx_phys as (select tbl, sch, phys_table, path from (select q.tbl, case when s.na
 
 LAST_RENAME = r"""
 fx_pairs as (select tbl, regexp_extract_all(seg, '\{\s*"([^"]+)"\s*,\s*"([^"]+)"\s*\}', 1) as a, regexp_extract_all(seg, '\{\s*"([^"]+)"\s*,\s*"([^"]+)"\s*\}', 2) as b
-  from (select tbl, unnest(string_split(m, 'Table.RenameColumns')[2:]) as seg from fx_m_queries) s),
+  from (select tbl, regexp_extract(unnest(string_split(m, 'Table.RenameColumns')[2:]), '(?s)^.*?[}][[:space:]]*[}]') as seg from fx_m_queries) s),
 fx_lastren as (select tbl, model_name, arg_max(source_name, pos) as source_name from (
   select tbl, unnest(a) as source_name, unnest(b) as model_name, unnest(generate_series(1, len(a))) as pos from fx_pairs) t group by 1, 2)"""
 

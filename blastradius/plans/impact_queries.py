@@ -556,8 +556,8 @@ def node_filter(c: Context):
 
 @query(
     "graph_union",
-    """select coalesce(p.id, d.id) as id, coalesce(p.kind, d.kind) as kind, coalesce(p.name, d.name) as name
-from (select * from fx_nodes where origin = 'dbt' or kind = 'page') d full join (select * from fx_nodes where origin = 'pbi') p on p.id = d.id""",
+    """select id, kind, name from fx_nodes where origin = 'pbi'
+union all select id, kind, name from fx_nodes where (origin = 'dbt' or kind = 'page') and id not in (select id from fx_nodes where origin = 'pbi')""",
 )
 def graph_union(c: Context):
     """Warehouse and report nodes in one table; the report wins on a shared id."""

@@ -129,7 +129,7 @@ def nav_from_end(c: Context):
 RENAME_SQL = r"""
 fx_ren as (select distinct tbl, a as source_name, b as model_name from (select tbl, unnest(regexp_extract_all(seg, '\{\s*"([^"]+)"\s*,\s*"([^"]+)"\s*\}', 1)) as a,
   unnest(regexp_extract_all(seg, '\{\s*"([^"]+)"\s*,\s*"([^"]+)"\s*\}', 2)) as b
-  from (select tbl, unnest(string_split(m, 'Table.RenameColumns')[2:]) as seg from fx_m_queries) s) t)"""
+  from (select tbl, regexp_extract(unnest(string_split(m, 'Table.RenameColumns')[2:]), '(?s)^.*?\}\s*\}') as seg from fx_m_queries) s) t)"""
 
 
 def m_rename_rows(c: Context):
@@ -235,10 +235,15 @@ fx_conn as ({connector_sql("m", "tbl, ord", "fx_m_queries")}),
 fx_sconn as ({connector_sql("expr", "name", "fx_shared_exprs")})"""
 
 
-@query("connectors", CONNECTED + " /*main*/ select tbl, kind, server, database, url, path, parameterized from fx_conn")
+@query(
+    "connectors",
+    CONNECTED + r""" /*main*/ select tbl, kind, server, database, url, path, parameterized or (kind = 'SQL Server' and tbl in (
+select q.tbl from (select tbl, unnest(regexp_extract_all(m, '#"([^"]+)"', 1)) as p from fx_m_queries) q
+join fx_shared_exprs s on s.name = q.p where regexp_matches(s.expr, 'IsParameterQuery\s*=\s*true'))) as parameterized from fx_conn""",
+)
 def connectors(c: Context):
     """Sources every query opens."""
-    return X.rows_of(c.m_queries, ["tbl"], T.connectors(F.col("m")))
+    return X.connectors(c.m_queries, c.shared_exprs)
 
 
 @query(

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from blastradius.functions import norm as N
 from blastradius.functions import text as T
+from blastradius.operators import extract as X
+from blastradius.operators.catalog import partial_key_leads
 from blastradius.sources.mapping_csv import cells, mapping_scan, mapping_scan_errors
 from blastradius.sources.sink import write_graph
 
@@ -37,6 +39,35 @@ def test_renames_and_projection(spark):
     assert value(spark, T.final_projection, "Table.RemoveColumns(s, {\"z\"})") is None
 
 
+def test_renames_end_with_their_list(spark):
+    assert value(spark, T.renames, 'X = Table.RenameColumns(S, {{"a","A"}}), Y = f(Z, {"q","r"})') == [("a", "A")]
+    nested = 'Table.RenameColumns(Table.RenameColumns(f(x, {"k", "l"}), {{"a", "b"}}), {{"say ""x""", "c}"}}, MissingField.Ignore), g({"m", "n"})'
+    assert sorted(value(spark, T.renames, nested)) == [("a", "b"), ('say "x"', "c}")]
+    assert value(spark, T.final_projection, 'Table.SelectColumns(x, {"a}b", "c", "d"}), r = Table.RemoveColumns(s, "c")') == ["a}b", "d"]
+
+
+def test_many_calls_in_one_text(spark):
+    steps = [f'S{n} = Table.AddColumn(S{n - 1}, "K{n}", each [a{n}])' for n in range(2000)]
+    got = value(spark, T.added_columns, "let " + ", ".join(steps) + " in S")
+    assert [(g[0], list(g[1])) for g in got] == [(f"K{n}", [f"a{n}"]) for n in range(2000)]
+
+
+def test_a_declared_parameter_anywhere(spark):
+    queries = spark.createDataFrame([("a", 'Sql.Database("srv","db"), x > #"Cutoff"'), ("b", 'Sql.Database("srv","db"), x > #"Step"'), ("c", 'OData.Feed("u"), #"Cutoff"')], "tbl string, m string")
+    shared = spark.createDataFrame([("Cutoff", '"1" meta [IsParameterQuery=true]'), ("Step", "let x = 1 in x")], "name string, expr string")
+    assert {r.tbl: r.parameterized for r in X.connectors(queries, shared).collect()} == {"a": True, "b": False, "c": False}
+
+
+def test_one_name_in_many_schemas(spark):
+    names = spark.range(2000).selectExpr("cast(id as string) as pid", "'t' as low", "case when id > 0 then concat('s', id) end as s")
+    sources = spark.range(2000).selectExpr("'t' as low", "case when id > 1 then concat('s', id) end as s", "concat('k', id) as source_key")
+    got = partial_key_leads(names, sources)
+    # Row 0 names no schema and meets all; every other meets its own schema and the two sources without one.
+    assert got.count() == 2000 + 1998 + 2 * 1999
+    low = [[str(x) for x in p] for p in (("1", "k0"), ("1", "k1"), ("5", "k5"), ("0", "k7"))]
+    assert {tuple(x) for x in low} <= {tuple(r) for r in got.collect()}
+
+
 def test_long_rename_list_is_read_whole(spark):
     names = [(f"source column number {n}", f"c{n}") for n in range(400)]
     m = "Table.RenameColumns(x, {" + ", ".join('{"%s", "%s"}' % p for p in names) + "})"
