@@ -423,4 +423,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = linked(docs, id_col, text_col, words, share)
     stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stays, F.col(id_col).cast("long").eqNullSafe(F.col("_stays")), "left_semi")
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"))
+    return rows.join(stays, F.col("_id").eqNullSafe(F.col("_stays")), "left_semi").select("_row.*")

@@ -113,6 +113,10 @@ def _marked(text: Column, kinds: Column, base: Column) -> Column:
     return F.array_sort(F.filter(spans, lambda w: ~F.exists(base, lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"]))))
 
 
+def _key() -> list[Column]:
+    return [F.coalesce("doc_id", F.lit(-1 << 63)).alias("_d"), F.xxhash64("_t").alias("_h")]
+
+
 class Findings:
     """Spans of every row of ``docs``, by (doc_id, hash of the text)."""
 
@@ -123,10 +127,12 @@ class Findings:
         # Words inside a value are no words beside it.
         words = F.when(F.size("base") > 0, _words(_replaced(F.col("_t"), F.col("base"), lambda kind: F.lit(" "))))
         self.rows = ws.save(spanned.select("doc_id", "_h", "base", words.alias("words")), "base")
-        key = [F.coalesce("doc_id", F.lit(-1 << 63)).alias("_d"), "_h"]
+        key = [F.coalesce("doc_id", F.lit(-1 << 63)).alias("_d"), F.col("_h")]
         value = F.explode(F.array_distinct(F.transform("base", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"])))))
         held = self.rows.filter("size(base) > 0")
-        n = float(max(1, docs.count()))
+        # Repeated rows are one document in all counts.
+        extra, repeated = ws.save_counted(self.rows.groupBy(*key).agg((F.count(F.lit(1)) - 1).alias("_more")).filter("_more > 0"), "repeated")
+        n = float(max(1, self.rows.count() - (extra.agg(F.sum("_more")).first()[0] or 0)))
         values = held.select(*key, value.alias("value")).distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_value"))
         # A pair in two documents takes a value in two.
         values = ws.save(values.filter((F.col("n_value") > 1) & (F.col("n_value") < n)), "values")
@@ -134,6 +140,10 @@ class Findings:
         shared = ws.save(shared, "shared")
         pairs = shared.select("value", "n_value", F.explode("words").alias("word")).groupBy("value", "n_value", "word").agg(F.count(F.lit(1)).alias("n_pair")).filter("n_pair > 1")
         everywhere = texts.select(F.explode(_words(F.col("_t"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_word"))
+        if repeated:  # the rows of a text beyond its first are taken off again
+            again = texts.select(*_key(), "_t").join(extra, ["_d", "_h"]).dropDuplicates(["_d", "_h"])
+            again = again.select(F.explode(_words(F.col("_t"))).alias("word"), (-F.col("_more")).alias("n_word"))
+            everywhere = everywhere.unionByName(again).groupBy("word").agg(F.sum("n_word").alias("n_word"))
         told = F.log(F.lit(n) * F.col("n_pair") / (F.col("n_value") * F.col("n_word"))) / F.log(F.lit(n) / F.col("n_value"))
         kind = F.when(told >= REMOVE, "drop").when(told >= GENERALISE, "term")
         telling = pairs.join(everywhere, "word").withColumn("kind", kind).filter("kind is not null").select("value", "word", "kind")

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from blastradius.llm.common import ship
 from blastradius.llm.features import PLAIN, SIZE, scores, slices, vector
@@ -176,7 +177,7 @@ def scored(docs: DataFrame, model: Model | None, text_col: str = "text", score_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["_row", "_score"])
 
     sent = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"))
-    out = sent.mapInArrow(run, f"_row {sent.schema['_row'].dataType.simpleString()}, _score double")
+    out = sent.mapInArrow(run, T.StructType([sent.schema["_row"], T.StructField("_score", T.DoubleType())]))
     return out.select("_row.*", F.col("_score").alias(score_col))
 
 
@@ -189,4 +190,5 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
 def keep_good(docs: DataFrame, text_col: str = "text", keep: float = KEEP) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with all their columns."""
     name = "_quality_score"
-    return scored(docs, fit(docs, text_col), text_col, name).filter(F.col(name) >= keep).drop(name)
+    rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"))
+    return scored(rows, fit(docs, text_col), "_text", name).filter(F.col(name) >= keep).select("_row.*")

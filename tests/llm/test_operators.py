@@ -435,3 +435,16 @@ def test_pipeline(spark):
         docs = workspace(spark).save(out, "stage")
     packed = corpus_pipeline.run(spark, sf).select("doc_id").distinct()
     assert packed.count() == docs.count() > 0
+
+
+def test_repeated_rows_hide_no_word(spark):
+    told = [(i, t) for i, t in enumerate(["zanzibar writes jo@x.example", "ask zanzibar at jo@x.example", "plain words only", "other words here", "more plain words"])]
+    spans = [{r.doc_id: r.spans for r in pii.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()} for rows in (told, told + told[:1] * 3 + told[2:3] * 2)]
+    assert spans[0] == spans[1] and "drop:0:8" in spans[0][0] and "drop:4:12" in spans[0][1]
+
+
+def test_names_of_columns_may_clash(spark, docs):
+    odd = docs.withColumnRenamed("kept", "_quality_score").withColumnRenamed("component", "_stays")
+    for f in (quality.keep_good, jaccard.one_of_each):
+        got = f(odd)
+        assert got.columns == odd.columns and got.count() > 0
