@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blastradius.llm.common import whole, workspace
@@ -96,21 +96,23 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
 
 
-def _marked(text: Column, kinds: Column, base: Column) -> Column:
-    """Spans of all places of the words in ``kinds`` (word to kind) that lie in no base span, by kind and start."""
-    pairs = F.arrays_zip(F.split(text, WORD).alias("g"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("m"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["g"])
-        end = begin + F.length(x["m"])
-        word = F.lower(x["m"])
-        kind = F.try_element_at(kinds, word)
-        held = F.concat(acc["spans"], F.array(F.struct(kind.alias("kind"), begin.alias("start"), end.alias("end"), word.alias("value"))))
-        return F.struct(end.alias("at"), F.when(kind.isNotNull(), held).otherwise(acc["spans"]).alias("spans"))
+def _marked(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """Per text (_d, _h): ``terms``, all places of its words in ``marks`` that lie in no base span, by kind and start.
 
-    spans = F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), start, step, lambda acc: acc["spans"])
-    return F.array_sort(F.filter(spans, lambda w: ~F.exists(base, lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"]))))
+    A row a word, its place from a running sum over the lengths before it: time and memory are linear in the text.
+    """
+    key = ["_d", "_h"]
+    pairs = F.filter(F.arrays_zip(F.split("_t", WORD).alias("g"), F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)).alias("m")), lambda x: x["m"].isNotNull())
+    sizes = F.transform(pairs, lambda x: F.struct(F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("chars"), F.lower(x["m"]).alias("word")))
+    words = texts.select(*key, F.posexplode(sizes).alias("at", "x")).select(*key, "at", "x.*")
+    end = F.sum(F.col("gap") + F.col("chars")).over(Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    placed = words.select(*key, "word", "chars", end.alias("end")).join(marks, [*key, "word"])
+    span = F.struct("kind", (F.col("end") - F.col("chars")).alias("start"), "end", F.col("word").alias("value"))
+    spans = placed.groupBy(*key).agg(F.collect_list(span).alias("spans"))
+    # What lies in a base span is a part of it.
+    inside = lambda w: F.exists("base", lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"]))
+    base = texts.select(*key, base_spans(F.col("_t")).alias("base"))
+    return spans.join(base, key).select(*key, F.array_sort(F.filter("spans", lambda w: ~inside(w))).cast(_SPAN).alias("terms"))
 
 
 def _key() -> list[Column]:
@@ -148,14 +150,14 @@ class Findings:
         kind = F.when(told >= REMOVE, "drop").when(told >= GENERALISE, "term")
         telling = pairs.join(everywhere, "word").withColumn("kind", kind).filter("kind is not null").select("value", "word", "kind")
         marks = shared.select("_d", "_h", "value", F.explode("words").alias("word")).join(telling, ["value", "word"]).groupBy("_d", "_h", "word").agg(F.min("kind").alias("kind"))
-        marks = ws.save(marks.groupBy("_d", "_h").agg(F.map_from_entries(F.collect_list(F.struct("word", "kind"))).alias("kinds")), "marks")
+        marks = ws.save(marks, "marks")
         some = F.lit(False)
         for hint in _HINTS.values():
             some = some | F.col("_t").rlike(hint)
-        placed = texts.filter(some).select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("_d"), F.xxhash64("_t").alias("_h"), "_t")
-        placed = placed.join(marks, ["_d", "_h"]).select("_d", "_h", _marked(F.col("_t"), F.col("kinds"), base_spans(F.col("_t"))).alias("terms"))
+        told_of = texts.filter(some).select(*_key(), "_t").join(marks.select("_d", "_h").distinct(), ["_d", "_h"])
+        told_of = ws.save(told_of.dropDuplicates(["_d", "_h"]), "marked-texts")
         #: One row a text with such words: ``terms``, by kind and start.
-        self.terms = ws.save(placed.dropDuplicates(["_d", "_h"]), "terms")
+        self.terms = ws.save(_marked(told_of, marks), "terms")
 
 
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,14 +1,17 @@
 """Each operator against a brute-force version, on a small table of odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+import regex
 import sentencepiece
 from tokenizers import Tokenizer
 
@@ -443,6 +446,63 @@ def test_repeated_rows_hide_no_word(spark):
     assert spans[0] == spans[1] and "drop:0:8" in spans[0][0] and "drop:4:12" in spans[0][1]
 
 
+def added_spans(rows: list) -> dict:
+    """Spans of telling words by (doc_id, text), in plain Python."""
+    docs = {(i, t or "") for i, t in rows}
+    base = {d: [(k, m.start(), m.end(), m.group()) for k, p in PLAIN.items() for m in re.finditer(p, d[1]) if valid(k, m.group())] for d in docs}
+    everywhere = {d: {w.lower() for w in regex.findall(r"\p{L}+", d[1])} for d in docs}
+    beside = {}
+    for d, spans in base.items():
+        chars = list(d[1])
+        for _, start, end, _ in spans:
+            chars[start:end] = " " * (end - start)
+        beside[d] = {w.lower() for w in regex.findall(r"\p{L}+", "".join(chars))} if spans else set()
+    values = {d: {f"{k}:{v.lower()}" for k, _, _, v in spans} for d, spans in base.items()}
+    n, n_word = len(docs), Counter(w for words in everywhere.values() for w in words)
+    n_value = Counter(v for held in values.values() for v in held)
+    n_pair = Counter((v, w) for d in docs for v in values[d] for w in beside[d])
+    kinds = {}
+    for (v, w), pairs in n_pair.items():
+        if pairs > 1 and 1 < n_value[v] < n:
+            told = math.log(n * pairs / (n_value[v] * n_word[w])) / math.log(n / n_value[v])
+            if told >= pii.GENERALISE:
+                kinds[v, w] = "drop" if told >= pii.REMOVE else "term"
+    out = {}
+    for d in docs:
+        marks = {}
+        for (v, w), kind in kinds.items():
+            if v in values[d] and w in beside[d]:
+                marks[w] = min(kind, marks.get(w, kind))
+        places = [(marks[m.group().lower()], m.start(), m.end()) for m in regex.finditer(r"\p{L}+", d[1]) if m.group().lower() in marks]
+        out[d] = sorted(x for x in places if not any(x[1] < e and s < x[2] for _, s, e, _ in base[d]))
+    return out
+
+
+def test_added_spans_against_brute_force(spark):
+    draw = random.Random(5)
+    words = [f"w{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    values = ["jo@x.example", "Ann.Lee@corp.example", "10.1.2.3", "+1 202 555 0143"]
+    rows: list = [(900, None), (901, ""), (902, "jo@x.example")]
+    for i in range(240):
+        text = draw.choices(words, k=draw.choice([3, 12, 60]))
+        for j, value in enumerate(values):
+            if draw.random() < 0.1:
+                text += [value, *[f"{draw.choice('zZ')}an{'äbc日'[j]}"] * draw.choice([1, 4])]
+            elif j % 2 and draw.random() < 0.015:  # seen without its value too
+                text.append(f"zan{'äbc日'[j]}")
+        draw.shuffle(text)
+        rows.append((i, " ".join(text).upper() if draw.random() < 0.1 else " ".join(text)))
+    rows.append((950, " ".join(["jo@x.example", *(["zanä", "wak"] * 20_000)])))  # a text of many marks takes time in proportion to it
+    rows += rows[5:9] * 3
+    want = added_spans(rows)
+    kinds = Counter(k for spans in want.values() for k, *_ in spans)
+    assert kinds["drop"] > 0 and kinds["term"] > 0 and sum(kinds.values()) > 20_000, kinds
+    for r in pii.found(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got = [s.split(":") for s in r.spans.split(",") if s.split(":")[0] in ("drop", "term")]
+        texts = [t for i, t in rows if i == r.doc_id]
+        assert [(k, int(a), int(b)) for k, a, b in got] == want[r.doc_id, texts[0] or ""], r.doc_id
+
+
 def test_names_of_columns_may_clash(spark, docs):
     odd = docs.withColumnRenamed("kept", "_quality_score").withColumnRenamed("component", "_stays")
     for f in (quality.keep_good, jaccard.one_of_each):
