@@ -32,8 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
 class Workspace:
     """One folder of written tables; every table gets a name of its own."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, codec: str | None = None):
         self.spark = spark
+        self.codec = codec or spark.conf.get("spark.sql.parquet.compression.codec")
         self.root = f"{shared_dir(spark)}/blastradius-{uuid.uuid4().hex}"
         self._n = 0
 
@@ -45,7 +46,7 @@ class Workspace:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
         seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path, compression=self.codec)
         return self.spark.read.schema(df.schema).parquet(path), seen.get["rows"]
 
     def drop(self) -> None:
