@@ -15,6 +15,7 @@ from blastradius.workspace import Workspace
 
 #: Rows drawn for each range when ranges are cut; the driver holds that many short keys a range.
 SAMPLE_PER_RANGE = 100
+CODEC = "zstd"
 LAST_ID = (1 << 63) - 1
 _shipped: set[str] = set()
 
@@ -38,15 +39,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def workspace(spark: SparkSession) -> Workspace:
-    """A new folder below the shared one that the cluster names."""
-    return Workspace(spark)
+    """A new folder below the shared one that the cluster names; tables that hold texts stay until the end, so they are packed well."""
+    return Workspace(spark, CODEC)
 
 
 class Tables(Workspace):
     """A workspace whose tables can be deleted one by one, once nothing that is still to run reads them."""
 
     def __init__(self, spark: SparkSession):
-        super().__init__(spark)
+        super().__init__(spark, CODEC)
         self._paths: list[tuple[DataFrame, str]] = []
 
     def save_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:

@@ -126,4 +126,5 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kept = ws.save(marked.filter("_new or _last"), "first-of-run")
     borders = _borders(kept.filter("_edge is not null").select("_b", "_run", "_first", "_last", "_edge"))
     later = borders.filter("_cont").select("_b", F.lit(1).cast("long").alias("_run"), F.lit(True).alias("_later"))
-    return kept.filter("_new").join(later, ["_b", "_run"], "left").filter("_later is null").select("_row.*")
+    # One row a range at most, so it is broadcast and the rows with their texts stay where they are.
+    return kept.filter("_new").join(F.broadcast(later), ["_b", "_run"], "left").filter("_later is null").select("_row.*")
