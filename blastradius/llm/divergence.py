@@ -15,7 +15,6 @@ Shares are whole numbers, parts of ``SCALE``; all arithmetic is exact.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,41 +30,61 @@ SCALE = 1_000_000_000
 TOP = 10
 #: Columns of a block and rows of a tile, both powers of two: a task holds two tiles of one block.
 WIDTH, TILE = 4096, 64
-#: Terms and bytes of text a worker counts before it hands its counts on.
-_TERMS, _BYTES, _ROWS = 400_000, 64 << 20, 50_000
+#: Bytes of text a worker counts at once (a longer text is counted alone), and rows of a batch it hands on.
+_BYTES, _ROWS = 16 << 20, 50_000
 #: Letters of terms: A-Z as a-z, all bytes of longer characters; the rest is space.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+def _terms(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """All terms of the texts in order, and the number of the text each stands in."""
+    raw = np.frombuffer(b" ".join(texts).translate(_LETTERS) + b" ", np.uint8)
+    letter = raw != 32
+    step = np.diff(letter.view(np.int8), prepend=np.int8(0))
+    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    terms = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[letter])])
+    begins = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+    return terms, np.searchsorted(begins, starts, "right") - 1
+
+
+def _tallies(groups: list[tuple[str, str]], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """The counts of some texts: terms and texts become numbers, equal pairs of them are counted by sorting."""
+    terms, text = _terms(texts)
+    if not len(terms):
+        return
+    coded = terms.dictionary_encode()
+    names, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    seen, n = np.unique(text * len(names) + code, return_counts=True)  # one entry a text and term
+    number = {group: i for i, group in enumerate(dict.fromkeys(groups))}
+    group = np.array([number[g] for g in groups])[seen // len(names)]
+    cell, at, docs = np.unique(group * len(names) + seen % len(names), return_inverse=True, return_counts=True)
+    total = np.bincount(at, n, len(cell)).astype(np.int64)
+    bounds = np.searchsorted(cell, np.arange(len(number) + 1) * len(names))
+    for (lang, source), low, high in zip(number, bounds[:-1], bounds[1:], strict=True):
+        part = names.take(pa.array(cell[low:high] % len(names)))
+        step = max(1, min(_ROWS, len(part) * _BYTES // max(1, part.nbytes)))  # a batch holds about so many bytes
+        for i in range(low, high, step):
+            j = min(i + step, high)
+            same = [pa.repeat(pa.scalar(name, pa.string()), j - i) for name in (lang, source)]
+            item = part.slice(i - low, j - i).cast(pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*same, item, pa.array(total[i:j]), pa.array(docs[i:j], pa.int64())], ["lang", "source", "term", "n", "docs"])
+
+
 def _counted(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents, counted as far as one task sees them."""
-
-    def rows(held: dict) -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, in_docs) in held.items():
-            terms = pa.array(list(n), pa.large_binary())
-            counts = [pa.array(list(n.values()), pa.int64()), pa.array(list(map(in_docs.__getitem__, n)), pa.int64())]
-            step = max(1, min(_ROWS, len(n) * _BYTES // max(1, terms.nbytes)))  # a batch holds about so many bytes
-            for at in range(0, len(n), step):
-                part = terms.slice(at, step)
-                same = [pa.repeat(pa.scalar(name, pa.string()), len(part)) for name in (lang, source)]
-                yield pa.RecordBatch.from_arrays([*same, part.cast(pa.binary()).cast(pa.string()), *[c.slice(at, step) for c in counts]], ["lang", "source", "term", "n", "docs"])
+    """(lang, source, term, n, docs): occurrences and documents, counted in parts of about ``_BYTES`` of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = defaultdict(lambda: (Counter(), Counter()))
-        size = 0
+        groups, texts, size = [], [], 0
         for part in batches:
             for lang, source, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
-                raw = text.as_py().encode()
-                terms = raw.translate(_LETTERS).split()
-                n, in_docs = held[lang, source]
-                n.update(terms)
-                in_docs.update(set(terms))
-                size += len(raw)
-            if size >= _BYTES or sum(len(n) for n, _ in held.values()) >= _TERMS:
-                yield from rows(held)
-                held.clear()
-                size = 0
-        yield from rows(held)
+                groups.append((lang, source))
+                texts.append(text.as_py().encode())
+                size += len(texts[-1])
+                if size >= _BYTES:
+                    yield from _tallies(groups, texts)
+                    groups, texts, size = [], [], 0
+        yield from _tallies(groups, texts)
 
     return docs.mapInArrow(run, "lang string, source string, term string, n long, docs long")
 
@@ -165,12 +184,15 @@ def audit(
     ship(docs.sparkSession)
     ws = workspace(docs.sparkSession)
     texts = docs.select(whole(lang_col).alias("lang"), whole(source_col).alias("source"), whole(text_col).alias("text"))
-    # By the whole key first: a frequent term is spread over as many tasks as it has sources.
-    cells = ws.save(_counted(texts).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "cells")
-    kept = cells.groupBy("lang", "term").agg(F.sum("n").alias("all_n"), F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
+    # Counts meet once, by term: a term has at most one row a part and source. Rare terms, the bulk of the rows, go in that stage.
+    cells = _counted(texts).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    everywhere = Window.partitionBy("lang", "term")
+    cells = cells.select("lang", "source", "term", "n", F.sum("n").over(everywhere).alias("all_n"), F.sum("docs").over(everywhere).alias("docs"))
+    cells = ws.save(cells.filter(F.col("docs") >= min_docs).drop("docs"), "cells")
+    kept = cells.groupBy("lang", "term").agg(F.first("all_n").alias("all_n"))
     kept = ws.save(kept.sortWithinPartitions("lang", "term").select("lang", "term", "all_n", F.monotonically_increasing_id().alias("id")), "terms")
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("all_n").alias("lang_n"))
-    held = ws.save(cells.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "all_n", "id"), "kept-cells")
+    held = ws.save(cells.join(kept.select("lang", "term", "id"), ["lang", "term"]), "kept-cells")
     sizes = held.groupBy("lang", "source").agg(F.sum("n").alias("source_n"))
     numbered = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
     groups = texts.select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").join(langs, "lang", "left")
