@@ -104,10 +104,8 @@ ORACLES: dict[str, str] = {
     "op11_quality_rules": r"""
         WITH d AS (
             SELECT row_number() OVER () AS i, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text,
-                   regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+') AS w,
-                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
-]')) AS l
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
             FROM documents
         ), v AS (
             SELECT i, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS t, p FROM (SELECT i, w, unnest(range(1, len(w) - 1)) AS p FROM d)
