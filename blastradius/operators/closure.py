@@ -1,11 +1,16 @@
 """Distributed transitive closure, and the column-carrying graph it runs on.
 
-``closure`` is the only loop of the library.  Each round joins the pairs found
-last with the edges, keeps the best weight per pair before the shuffle, drops
-what is already known and writes the rest to shared storage.  Both the edge side
-and the frontier side of that join may hold a hot vertex; the join feeds an
-aggregation on other keys, so adaptive execution is free to split such
-partitions on either side.
+``closure`` is the only loop of the library.  Nodes get layers first, so that edges
+lead to higher layers only; nodes on cycles share one.  Layers are then taken in
+order: the pairs that wait for a layer are complete when its turn comes, are made
+unique once, join the edges that leave the layer and are written by the layer they
+lead to.  So each pair is written once an edge into its end, read once to go on and
+once for the result; nothing found earlier is read again, however deep the graph.
+Nodes without a way out, most of a graph, are not in layers and are met at the end.
+Only inside the layer of the cycles rounds are held against what is known there.
+Both the edge side and the frontier side of a join may hold a hot vertex; the join
+feeds a table or an aggregation on other keys, so adaptive execution is free to
+split such partitions on either side.
 """
 
 from __future__ import annotations
@@ -24,6 +29,84 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def _best(df: DataFrame, carry: Sequence[str]) -> DataFrame:
+    return df.groupBy("origin", "v", *carry).agg(F.max("w").alias("w"), F.min("hop").alias("hop"))
+
+
+def _stepped(step: DataFrame, edges: DataFrame, combine: Callable[[Column, Column], Column], columns: Sequence[str]) -> DataFrame:
+    """The pairs one edge further on, not yet made unique, with ``columns`` of the edge."""
+    onward = edges.select("src", F.col("dst").alias("next"), F.col("w").alias("ew"), *columns)
+    found = step.select("origin", F.col("v").alias("src"), "w", "hop").join(onward, "src")
+    return found.select("origin", F.col("next").alias("v"), *columns, combine(F.col("w"), F.col("ew")).alias("w"), (F.col("hop") + 1).alias("hop"))
+
+
+def _rounds(
+    ws: Workspace, edges: DataFrame, step: DataFrame, combine: Callable[[Column, Column], Column],
+    carry: Sequence[str], max_hops: int | None, name: str,
+) -> list[DataFrame]:
+    """``step`` and what follows from it, round by round; each round is held against all that is known."""
+    found: list[DataFrame] = []
+    while True:
+        if found:
+            known = union_all(found).select("origin", "v", F.col("w").alias("kw"), F.col("hop").alias("kh"))
+            same = (step["origin"] == known["origin"]) & (step["v"] == known["v"])
+            step = step.join(known, same & (known["kw"] >= step["w"]) & (known["kh"] <= step["hop"]), "left_anti")
+        fresh, rows = ws.save_counted(step, f"{name}-{len(found) + 1}")
+        if rows == 0 and found:
+            break
+        found.append(fresh)
+        if rows == 0 or len(found) == max_hops:
+            break
+        step = _best(_stepped(fresh, edges, combine, carry), carry)
+    return found
+
+
+def _peeled(ws: Workspace, arcs: DataFrame, name: str) -> tuple[list[DataFrame], bool]:
+    """Layers (v) in the order of the arcs, the middle one left out, and whether arcs stay that end in no layer.
+
+    Each round takes away the nodes without an arc into them and those without an
+    arc out of them, so that there are half as many rounds as the longest way.
+    """
+    front: list[DataFrame] = []
+    back: list[DataFrame] = []
+    before = None
+    while True:
+        into = arcs.select(F.col("dst").alias("src")).distinct().withColumn("inside", F.lit(True))
+        onward = arcs.select(F.col("src").alias("dst")).distinct().withColumn("onward", F.lit(True))
+        head, tail = F.col("inside").isNull().alias("head"), F.col("onward").isNull().alias("tail")
+        marked, rows = ws.save_counted(arcs.join(into, "src", "left").join(onward, "dst", "left").select("src", "dst", head, tail), f"{name}-{len(front)}")
+        if rows in (0, before):  # nothing is left, or nothing went in the last round
+            return front[: len(front) - bool(rows)] + back[len(back) > 0 and rows > 0 :], rows > 0
+        front.append(marked.where("head").select(F.col("src").alias("v")).distinct())
+        back.insert(0, marked.where("tail").select(F.col("dst").alias("v")).distinct())
+        arcs, before = marked.where("not head and not tail").select("src", "dst"), rows
+
+
+def _layered(ws: Workspace, edges: DataFrame, name: str) -> tuple[DataFrame, dict[int, set[int]], int | None]:
+    """The edges with the layers of both ends (``low`` < ``high`` but inside the core), which layers follow which, the core's layer.
+
+    Nodes on cycles, or between cycles, are in the middle layer, which then is the
+    core; so are nodes that lie just between the outer layers, which have no edges
+    among each other.
+    """
+    layers, cyclic = _peeled(ws, edges.select("src", "dst").distinct(), f"{name}-peel")
+    half = len(layers) // 2
+    at = [*range(half), *range(half + 1, len(layers) + 1)]
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("v")).distinct()
+    if layers:
+        assigned = union_all([t.withColumn("layer", F.lit(i)) for i, t in zip(at, layers, strict=True)])
+        nodes = nodes.join(assigned, "v", "left").select("v", F.coalesce("layer", F.lit(half)).alias("layer"))
+    else:
+        nodes = nodes.withColumn("layer", F.lit(half))
+    nodes = ws.save(nodes, f"{name}-layers")
+    both = edges.join(nodes.select(F.col("v").alias("src"), F.col("layer").alias("low")), "src")
+    both = ws.save(both.join(nodes.select(F.col("v").alias("dst"), F.col("layer").alias("high")), "dst"), f"{name}-edges", by=("low", "high"))
+    follows: dict[int, set[int]] = {}
+    for low, high in both.select("low", "high").distinct().collect():  # layers only, few however large the graph
+        follows.setdefault(low, set()).add(high)
+    return both, follows, half if cyclic else None
+
+
 def closure(
     ws: Workspace,
     edges: DataFrame,
@@ -41,47 +124,54 @@ def closure(
     on dst alone; written once here unless the caller has (``written``).  ``seeds``: origin, v; without it every src is its own origin.
     ``combine`` folds the weight along a path and must never lower a path's
     standing below the worse of its parts; of several paths the largest weight
-    stays.  Result: origin, v, w, hop, carry; a pair has one row per weight it
-    improved to, so ``max(w)`` and ``min(hop)`` per pair finish the job.
+    stays.  Result: origin, v, carry, w, hop.  A pair has one row, with the largest
+    weight and the fewest hops of its paths; with ``max_hops`` one row per weight it
+    improved to, so ``max(w)`` and ``min(hop)`` finish the job (``pairs``).
     """
     if not written:
         edges = ws.save(edges, f"{name}-edges")
     if "w" not in edges.columns:
         edges = edges.withColumn("w", F.lit(1))
-    step_cols = [F.col("dst").alias("v"), *[F.col(c) for c in carry]]
 
-    def best(df: DataFrame) -> DataFrame:
-        return df.groupBy("origin", "v", *carry).agg(F.max("w").alias("w"))
-
-    if seeds is None:
-        step = best(edges.select(F.col("src").alias("origin"), *step_cols, "w"))
-    else:
-        step = best(
-            seeds.select("origin", F.col("v").alias("src"))
-            .join(edges, "src")
-            .select("origin", *step_cols, "w")
-        )
-    onward = edges.select("src", "dst", F.col("w").alias("ew"), *carry)
-    found: list[DataFrame] = []
-    hop = 1
-    while True:
-        if found:
-            known = union_all(found).select("origin", "v", F.col("w").alias("kw"))
-            same = (step["origin"] == known["origin"]) & (step["v"] == known["v"])
-            step = step.join(known, same & (known["kw"] >= step["w"]), "left_anti")
-        fresh, rows = ws.save_counted(step.withColumn("hop", F.lit(hop)), f"{name}-{hop}")
-        if rows == 0 and found:
-            break
-        found.append(fresh)
-        if rows == 0 or hop == max_hops:
-            break
-        hop += 1
-        step = best(
-            fresh.select("origin", F.col("v").alias("src"), "w")
-            .join(onward, "src")
-            .select("origin", *step_cols, combine(F.col("w"), F.col("ew")).alias("w"))
-        )
-    return union_all(found)
+    def first(arcs: DataFrame, *columns: str) -> DataFrame:
+        hop = F.lit(1).alias("hop")
+        if seeds is None:
+            return arcs.select(F.col("src").alias("origin"), F.col("dst").alias("v"), *carry, "w", hop, *columns)
+        start = seeds.select("origin", F.col("v").alias("src")).join(arcs, "src")
+        return start.select("origin", F.col("dst").alias("v"), *carry, "w", hop, *columns)
+
+    if max_hops is not None:
+        return union_all(_rounds(ws, edges, _best(first(edges), carry), combine, carry, max_hops, name))
+
+    starts = edges.select(F.col("src").alias("dst")).distinct().withColumn("inner", F.lit(True))
+    split = ws.save(edges.join(starts, "dst", "left").withColumn("inner", F.coalesce("inner", F.lit(False))), f"{name}-split", by=("inner",))
+    ends, inner = (split.where(F.col("inner") == side).drop("inner") for side in (False, True))
+    arcs, follows, core = _layered(ws, inner, name)
+    to_come = [first(arcs, "high")]
+    if seeds is not None:
+        to_come = [ws.save(to_come[0], f"{name}-start", by=("high",))]
+    reached = set().union(*follows.values())
+    done: list[DataFrame] = []
+    # All edges into a layer come from lower ones, so a layer's pairs are complete when its turn comes.
+    for layer in sorted(follows.keys() & reached):
+        due = _best(union_all([t.where(F.col("high") == layer) for t in to_come]).drop("high"), carry)
+        out = arcs.where(F.col("low") == layer)
+        if layer == core:
+            inside = _rounds(ws, out.where(F.col("high") == layer), due, combine, carry, None, f"{name}-core")
+            done += inside
+            due = _best(union_all(inside), carry)
+            out = out.where(F.col("high") != layer)
+            if follows[layer] == {layer}:
+                continue
+        step, rows = ws.save_counted(_stepped(due, out, combine, [*carry, "high"]), f"{name}-from-{layer}", by=("high",))
+        if rows:
+            to_come.append(step)
+    within = _best(union_all([t.drop("high") for t in to_come] + done), carry)
+    if follows:
+        within = ws.save(within, f"{name}-within")
+    # Nodes that lead nowhere are met once, when all pairs of the others are known.
+    last = _best(first(ends).unionByName(_stepped(within, ends, combine, carry)), carry)
+    return within.unionByName(last)
 
 
 def pairs(found: DataFrame, *carry: str) -> DataFrame:
@@ -242,6 +332,7 @@ class StateGraph:
         if self._walked is None:
             inner = self.moves.where(~F.col("sink"))
             self._walked = closure(self.ws, inner, carry=("nid", "kind"), name="impact", written=True)
+            self._walked = self.ws.save(self._walked, "walked")
         return self._walked
 
     def ends(self) -> DataFrame:

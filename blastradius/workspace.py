@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -38,15 +39,15 @@ class Workspace:
         self.root = f"{shared_dir(spark)}/blastradius-{uuid.uuid4().hex}"
         self._n = 0
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        return self.save_counted(df, name)[0]
+    def save(self, df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+        return self.save_counted(df, name, by)[0]
 
-    def save_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
-        """Write ``df`` and read it back; the row count comes from the same job."""
+    def save_counted(self, df: DataFrame, name: str, by: Sequence[str] = ()) -> tuple[DataFrame, int]:
+        """Write ``df``, in a folder a value of ``by``, and read it back; the row count comes from the same job."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
         seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path, compression=self.codec)
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path, partitionBy=list(by), compression=self.codec)
         return self.spark.read.schema(df.schema).parquet(path), seen.get["rows"]
 
     def drop(self) -> None:

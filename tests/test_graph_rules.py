@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from blastradius.operators import impact as I
@@ -76,18 +77,70 @@ def test_cycle_ends_and_missing_target_is_skipped(spark, ws):
     assert (got[("a", None)].measures, got[("a", None)].visuals) == (2, 1)
 
 
-def test_closure_against_brute_force(spark, ws):
-    rnd = random.Random(7)
-    arcs = {(rnd.randrange(30), rnd.randrange(30)): rnd.randrange(2) for _ in range(70)}
-    best = {p: w for p, w in arcs.items()}
-    for _ in range(30):
-        for (a, b), w in list(best.items()):
+def brute_closure(arcs: dict, combine) -> dict:
+    """(w, hop) per pair: the largest weight and the fewest hops, each by itself."""
+    best = {p: (w, 1) for p, w in arcs.items()}
+    changed = True
+    while changed:
+        changed = False
+        for (a, b), (w, hop) in list(best.items()):
             for (c, d), x in arcs.items():
-                if b == c and best.get((a, d), -1) < min(w, x):
-                    best[(a, d)] = min(w, x)
+                if b == c:
+                    old = best.get((a, d), (-1, 10**9))
+                    new = (max(old[0], combine(w, x)), min(old[1], hop + 1))
+                    if new != old:
+                        best[(a, d)] = new
+                        changed = True
+    return best
+
+
+@pytest.mark.parametrize("n,m,back,combine,plain", [(30, 60, 1.0, F.least, min), (30, 36, 0.0, F.greatest, max), (30, 40, 0.06, F.least, min), (16, 24, 0.1, F.greatest, max)])
+def test_closure_against_brute_force(spark, ws, n, m, back, combine, plain):
+    """All arcs at random, none that lead back, and a few: cycles with ways in, between and out."""
+    rnd = random.Random(7)
+    arcs = {}
+    for _ in range(m):
+        a, b = rnd.randrange(n), rnd.randrange(n)
+        if rnd.random() >= back:
+            a, b = min(a, b), max(a, b) + 1
+        arcs[a, b] = rnd.randrange(3)
+    best = brute_closure(arcs, plain)
     df = spark.createDataFrame([(a, b, w) for (a, b), w in arcs.items()], "src int, dst int, w int")
-    got = {(r.origin, r.v): r.w for r in pairs(closure(ws, df)).collect()}
-    assert got == best
+    got = [(r.origin, r.v, r.w, r.hop) for r in closure(ws, df, combine=combine).collect()]
+    assert sorted(got) == sorted((*p, *x) for p, x in best.items())
+    seeds = spark.createDataFrame([("s", 0), ("s", 3), ("t", 5), ("none", 99)], "origin string, v int")
+    want = {}
+    for (a, b), (w, hop) in best.items():
+        for name, v in (("s", 0), ("s", 3), ("t", 5)):
+            if v == a:
+                old = want.get((name, b), (-1, 10**9))
+                want[name, b] = (max(w, old[0]), min(hop, old[1]))
+    got = {(r.origin, r.v): (r.w, r.hop) for r in closure(ws, df, seeds, combine=combine).collect()}
+    assert got == want
+
+
+def test_chain_of_forty_is_not_read_again(spark, ws):
+    """Each table of pairs is written once an arc, so all that is written grows with the arcs of the pairs."""
+    written = {}
+    save = ws.save_counted
+
+    def counting(df, name, by=()):
+        out, rows = save(df, name, by)
+        written[name] = rows
+        return out, rows
+
+    ws.save_counted = counting
+    df = spark.createDataFrame([(i, i + 1) for i in range(40)], "src int, dst int")
+    found = closure(ws, df, name="chain")
+    assert {(r.origin, r.v, r.hop) for r in found.collect()} == {(a, b, b - a) for a in range(41) for b in range(a + 1, 41)}
+    steps = {name: rows for name, rows in written.items() if name.startswith("chain-from-")}
+    assert sorted(steps.values()) == list(range(1, 39))
+
+
+def test_closure_of_no_edges(spark, ws):
+    none = spark.createDataFrame([], "src int, dst int")
+    assert closure(ws, none).count() == 0
+    assert closure(ws, none, spark.createDataFrame([(1, 1)], "origin int, v int")).count() == 0
 
 
 def test_hot_vertex_keeps_every_row(spark, ws):
