@@ -50,8 +50,8 @@ class Tables(Workspace):
         super().__init__(spark, CODEC)
         self._paths: list[tuple[DataFrame, str]] = []
 
-    def save_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
-        out, rows = super().save_counted(df, name)
+    def save_counted(self, df: DataFrame, name: str, by: Sequence[str] = ()) -> tuple[DataFrame, int]:
+        out, rows = super().save_counted(df, name, by)
         self._paths.append((out, f"{self.root}/{self._n:03d}-{name}"))
         return out, rows
 
