@@ -463,5 +463,5 @@ def renames(c: Context):
 def quoted_columns(c: Context):
     """Read columns in their declared case where the node quotes them, else lower case."""
     quoted = c.cols.where((F.col("col") == F.upper("col")) & F.startswith("id", F.lit("mod:")))
-    reads = c.edges.where((F.col("kind") == "dbt") & F.col("sc").isNotNull())
+    reads = c.given("edges").where((F.col("kind") == "dbt") & F.col("sc").isNotNull())
     return X.resolve_column_case(reads, quoted, "snowflake")
