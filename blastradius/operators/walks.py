@@ -147,7 +147,12 @@ def trace(
     that edge ends a walk; downwards it is taken from the selected page only.
     ``graph`` is the ``trace_graph`` of the same direction, where there is one.
     """
-    graph = graph or trace_graph(ws, nodes, edges, columns, direction)
+    if graph is None:
+        near = F.col("dst" if direction == "up" else "src").alias("id")
+        onward = edges.where(F.coalesce("kind", F.lit("")) != CONTAINMENT).select(near)
+        led_on = onward.join(starts.select("id").distinct(), "id", "left_semi").limit(1).count()
+        # Starts that only hold visuals need no graph to walk on.
+        graph = trace_graph(ws, nodes, edges if led_on else edges.where(F.col("kind") == CONTAINMENT), columns, direction)
     picked = starts.select("id", "col", column_name(F.col("col")).alias("low")).distinct()
     at_column = (
         picked.where(F.col("low").isNotNull())

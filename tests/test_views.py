@@ -49,3 +49,14 @@ def test_each_problem_of_an_edge_is_one_row(spark, ws):
         ("x", "b", "dangling source"), ("x", "b", "dangling source"), ("a", "None", "dangling target"),
         ("y", "y", "dangling source"), ("y", "y", "dangling target"), ("y", "y", "self"), ("a", "a", "self"),
     ])
+
+
+@pytest.mark.parametrize(("extra", "reached", "walked"), [((), {"v"}, False), ((("p", "w", None, None),), {"v", "w"}, True)])
+def test_a_page_that_leads_nowhere_needs_no_walk(spark, ws, monkeypatch, extra, reached, walked):
+    given, build = [], W.trace_graph
+    monkeypatch.setattr(W, "trace_graph", lambda ws, n, e, *rest: given.append(e) or build(ws, n, e, *rest))
+    n = nodes(spark, p="page", v="visual", w="visual", m="measure")
+    e = edges(spark, ("p", "v", None, None, "page_to_visual"), ("m", "v", None, None), *extra)
+    starts = spark.createDataFrame([("p", None)], "id string, col string")
+    got = W.trace(ws, n, e, spark.createDataFrame([], "id string, col string"), starts, "down").collect()
+    assert {r.reached for r in got} == reached and (given[0].count() > 1) == walked
