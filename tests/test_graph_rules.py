@@ -205,3 +205,20 @@ def test_walk_is_limited_in_hops(spark, ws):
     g = NodeGraph(ws, n, edges(spark, *[(a, b, None, None) for a, b in itertools.pairwise("abcd")]))
     got = W.walk_hops(g, n.where("id = 'b'"), 1).collect()
     assert {(r.direction, r.reached, r.hop) for r in got} == {("down", "c", 1), ("up", "a", 1)}
+
+
+def test_spread_keeps_each_pair_once_and_reads_only_arcs_that_lead_on(spark, ws):
+    n = nodes(spark, a="model", b="model", c="model", t="pbiTable", v="visual", p="page")
+    kinds = [("a", "b", "dbt"), ("b", "a", "dbt"), ("b", "c", "dbt"), ("c", "gone", "dbt"), ("c", "t", "link"), ("t", "v", "show"), ("p", "v", "hold")]
+    g = NodeGraph(ws, n, edges(spark, *[(s, d, None, None, k) for s, d, k in kinds]))
+    start = n.where("id in ('a', 'c')").select(F.xxhash64("id").alias("origin"), "id")
+    start = g.numbers(start).select("origin", F.col("nid").alias("v"))
+    name = {r.nid: r.id for r in g.nodes.collect()}
+    origin = {r.origin: name[r.v] for r in start.collect()}
+    got = sorted((origin[r.origin], name[r.v], r.kind, r.hop) for r in g.spread(start, "down", "all").collect())
+    assert got == [
+        ("a", "a", "model", 2), ("a", "b", "model", 1), ("a", "c", "model", 2), ("a", "t", "pbiTable", 3), ("a", "v", "visual", 4),
+        ("c", "t", "pbiTable", 1), ("c", "v", "visual", 2),
+    ]
+    assert g.steps("down", {"pbiTable"}).count() == 1 and g.steps("up", {"visual"}).count() == 2
+    assert g.spread(start.limit(0), "down", "none").count() == 0
