@@ -148,18 +148,18 @@ def trace(
     picked = starts.select("id", "col", column_name(F.col("col")).alias("low")).distinct()
     at_column = (
         picked.where(F.col("low").isNotNull())
-        .join(graph.nodes.select("id", "nid"), "id")
+        .join(graph.nodes.select("id", "nid", "kind"), "id")
         .join(graph.named.withColumnRenamed("col", "low"), ["nid", "low"])
-        .select("id", "col", F.col("vid").alias("origin"))
+        .select("id", "col", F.col("vid").alias("origin"), "nid", "low", "kind")
     )
     at_node = (
         picked.where(F.col("low").isNull())
-        .join(graph.nodes.select("id", "nid"), "id")
-        .select("id", "col", F.col("nid").alias("origin"))
+        .join(graph.nodes.select("id", "nid", "kind"), "id")
+        .select("id", "col", F.col("nid").alias("origin"), "nid", "low", "kind")
     )
-    picks = ws.save(at_column.unionByName(at_node), "picks")
-    seeds = picks.select("origin", F.col("origin").alias("v"))
-    found = closure(ws, graph.moves, seeds, carry=("nid",), name=f"trace-{direction}", written=True)
+    tracked = nodes.select("id").join(columns.select("id").distinct().withColumn("cols", F.lit(True)), "id", "left")
+    picks = ws.save(at_column.unionByName(at_node).join(tracked, "id"), "picks")
+    found = graph.spread(picks.select("origin", "nid", F.col("low").alias("col"), "kind"), f"trace-{direction}")
     held = edges.where(F.col("kind") == CONTAINMENT).select("src", "dst").distinct()
     number = graph.nodes.select("id", "nid")
     inside = (
@@ -181,8 +181,8 @@ def trace(
     rows = found.select("origin", "nid", "v", "w", "hop").unionByName(
         ends.select("origin", "nid", F.col("nid").alias("v"), F.lit(1).cast("tinyint").alias("w"), "hop")
     )
-    tracked = nodes.select("id").join(columns.select("id").distinct().withColumn("cols", F.lit(True)), "id", "left")
-    per_position = rows.groupBy("origin", "nid", "v").agg(F.max("w").alias("w"), F.min("hop").alias("hop"))
+    # Dealt by the pair once for both groupings; few positions of a node are reached.
+    per_position = rows.repartition("origin", "nid").groupBy("origin", "nid", "v").agg(F.max("w").alias("w"), F.min("hop").alias("hop"))
     return (
         per_position.groupBy("origin", "nid")
         .agg(
@@ -190,8 +190,7 @@ def trace(
             F.max("w").alias("w"),
             F.count_if((F.col("v") < 0) & (F.col("w") == 1)).alias("columns"),
         )
-        .join(picks, "origin")
-        .join(tracked, "id")
+        .join(picks.select("origin", "id", "col", "cols"), "origin")
         .join(number.select(F.col("id").alias("reached"), "nid"), "nid")
         .select(
             "id",

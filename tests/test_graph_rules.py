@@ -222,3 +222,16 @@ def test_spread_keeps_each_pair_once_and_reads_only_arcs_that_lead_on(spark, ws)
     ]
     assert g.steps("down", {"pbiTable"}).count() == 1 and g.steps("up", {"visual"}).count() == 2
     assert g.spread(start.limit(0), "down", "none").count() == 0
+
+
+def test_trace_goes_round_a_cycle_and_keeps_the_best_of_two_ways(spark, ws):
+    n = nodes(spark, s="source", m="model", t="pbiTable", a="measure")
+    # t is met early over an edge that names no column, later by name; m and t lead back to each other.
+    e = edges(spark, ("s", "t", None, "k"), ("s", "m", "x", "y"), ("m", "t", "y", "k"), ("t", "m", "k", "y"), ("t", "a", "K", None), ("gone", "a", None, None))
+    c = columns(spark, ("s", "x"), ("m", "y"), ("t", "k"))
+    start = spark.createDataFrame([("s", "x")], "id string, col string")
+    graph = W.trace_graph(ws, n, e, c, "down")
+    got = {r.reached: (r.hop, r.columns, r.inferred) for r in W.trace(ws, n, e, c, start, "down", graph).collect()}
+    assert got == {"t": (1, 1, False), "m": (1, 1, False), "a": (2, 0, False)}
+    picked = graph.nodes.where("id = 's'").select(F.lit(0).alias("origin"), "nid", F.lit("x").alias("col"), "kind")
+    assert graph.spread(picked, "rounds").groupBy("v", "w").count().where("count > 1").count() == 0
