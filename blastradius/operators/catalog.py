@@ -473,56 +473,112 @@ def top_sources(physical: DataFrame, n: int = 5) -> DataFrame:
     return physical.orderBy(F.desc("visuals"), F.desc("measures"), "sch", "phys_table").limit(n)
 
 
+#: What a visual is built from.
+KINDS = ("measure", "chained measure", "column", "calculation item", "parameter item", "table", "source")
+#: Things of one key in one list; a key with more has several lists.
+LISTED = 1024
+
+
+def _thing(kind: str, name: Column | str) -> Column:
+    """A kind and a name in one text, led by a letter for the kind, a capital one where there is no name."""
+    letter = chr(ord("a") + KINDS.index(kind))
+    return F.coalesce(F.concat(F.lit(letter), F.col(name) if isinstance(name, str) else name), F.lit(letter.upper()))
+
+
+def _kind_and_name(thing: Column) -> tuple[Column, Column]:
+    letter = F.ascii(thing)
+    place = letter.bitwiseOR(F.lit(32)) - ord("a") + 1
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), place)
+    return kind.alias("kind"), F.when(letter >= ord("a"), F.substring(thing, 2, 1 << 30)).alias("name")
+
+
+def _in_brackets(tbl: str, col: str) -> Column:
+    return F.concat(tbl, F.lit("["), col, F.lit("]"))
+
+
+def _listed(ws: Workspace, things: DataFrame, most: int) -> DataFrame:
+    """role, key, alone, things: what ``things`` (role, key, alone, thing) has for a key, in lists of about ``most`` at most."""
+    key = ["key", "role"]  # in this order: rows are told apart by their first bytes when they are sorted
+    things = ws.save(things, "lineage-things")
+    many = things.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    part = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("thing"), F.ceil(F.col("n") / most))).otherwise(F.lit(0))
+    parts = things.join(many, key, "left").withColumn("part", part)
+    # A null thing is not collected; a key without any has an empty list.
+    return parts.groupBy(*key, "part").agg(F.bool_and("alone").alias("alone"), F.collect_set("thing").alias("things")).drop("part")
+
+
 def visual_lineage(
-    f: Formulas, uses: DataFrame, calc_items: DataFrame, resolved_items: DataFrame, params: DataFrame, sources: DataFrame
-) -> DataFrame:
-    """visual, kind, name: measures, chained measures, columns, items, tables and sources behind a visual."""
+    ws: Workspace, f: Formulas, uses: DataFrame, calc_items: DataFrame, resolved_items: DataFrame, params: DataFrame, sources: DataFrame,
+    listed: int = LISTED,
+) -> DataFrame:
+    """visual, kind, name: measures, chained measures, columns, items, tables and sources behind a visual.
+
+    What a measure or a table brings is listed once.  Uses are read once and meet
+    these lists under two keys at most, the measure and the table; a visual's rows
+    are then brought together once and spelled and made unique where they are.
+    """
     groups = calc_items.select("tbl").distinct()
-    measures = uses.where(F.col("type") == "measure").select("visual", "tbl", F.col("field").alias("name")).distinct()
-    columns = uses.where(F.col("type") != "measure").select("visual", "tbl", F.col("field").alias("col")).distinct()
-    plain = columns.join(groups, "tbl", "left_anti").join(params, "tbl", "left_anti")
+    opens = sources.select("tbl", "source_key").distinct()
+    data = f.data_tables()
     chain = f.chain()
-    chained = measures.select("visual", "name").distinct().join(chain, "name").select("visual", "measure", "measure_home").distinct()
-    in_group = columns.join(groups, "tbl", "left_semi").select("visual", "tbl").distinct()
-    on_param = columns.join(params, "tbl", "left_semi").select("visual", "tbl").distinct()
     offered = resolved_items.where(F.col("target_kind").isNotNull()).select(
         F.col("param").alias("tbl"), "target_kind", "node_table", "node_name"
     ).distinct()
     offered_tables = offered.where(F.col("target_kind") == "column").select("tbl", F.col("node_table").alias("data")).unionByName(
         offered.where(F.col("target_kind") == "measure")
         .select("tbl", F.col("node_name").alias("name"))
-        .join(f.data_tables().withColumnRenamed("tbl", "data"), "name")
+        .join(data.withColumnRenamed("tbl", "data"), "name")
         .select("tbl", "data")
-    ).distinct()
-    data = f.data_tables()
-    tables = union_all(
+    )
+    homes = chain.select("name", F.col("measure_home").alias("tbl")).join(params, "tbl", "left_anti").select("name", "tbl")
+    # Tables a key stands on beside the one that a use names itself.
+    stands = union_all(
         [
-            measures.join(params, "tbl", "left_anti").select("visual", "tbl"),
-            measures.select("visual", "name").join(data, "name").select("visual", "tbl"),
-            chained.select("visual", F.col("measure_home").alias("tbl")).join(params, "tbl", "left_anti").select("visual", "tbl"),
-            plain.select("visual", "tbl"),
-            in_group,
-            on_param.join(offered_tables, "tbl").select("visual", F.col("data").alias("tbl")),
+            data.unionByName(homes).select(F.lit("measure").alias("role"), F.col("name").alias("key"), "tbl"),
+            offered_tables.select(F.lit("column").alias("role"), F.col("tbl").alias("key"), F.col("data").alias("tbl")),
+            groups.select(F.lit("column").alias("role"), F.col("tbl").alias("key"), "tbl"),
         ]
     ).distinct()
+    named = opens.join(params, "tbl", "left_anti")
 
-    def rows(df: DataFrame, kind: str, name: Column) -> DataFrame:
-        return df.select("visual", F.lit(kind).alias("kind"), name.alias("name"))
+    def part(df: DataFrame, role: str, key: str, thing: Column, alone: bool = True) -> DataFrame:
+        return df.select(F.lit(role).alias("role"), F.col(key).alias("key"), F.lit(alone).alias("alone"), thing.alias("thing"))
 
-    def field(tbl: str, col: str) -> Column:
-        return F.concat(tbl, F.lit("["), col, F.lit("]"))
+    def of(df: DataFrame, thing: Column) -> DataFrame:
+        return df.select("role", "key", (F.col("role") == "measure").alias("alone"), thing.alias("thing"))
 
-    return union_all(
+    nothing = F.lit(None).cast("string")
+    things = union_all(
         [
-            rows(measures, "measure", field("tbl", "name")),
-            rows(chained, "chained measure", field("measure_home", "measure")),
-            rows(plain, "column", field("tbl", "col")),
-            rows(in_group.join(calc_items, "tbl"), "calculation item", field("tbl", "item")),
-            rows(on_param.join(offered, "tbl"), "parameter item", field("node_table", "node_name")),
-            rows(tables, "table", F.col("tbl")),
-            rows(tables.join(sources.select("tbl", "source_key").distinct(), "tbl").select("visual", "source_key").distinct(), "source", F.col("source_key")),
+            part(chain, "measure", "name", _thing("chained measure", _in_brackets("measure_home", "measure"))),
+            of(stands, _thing("table", "tbl")),
+            of(stands.join(opens, "tbl"), _thing("source", "source_key")),
+            part(named, "home", "tbl", _thing("source", "source_key")),
+            part(named.join(groups, "tbl", "left_anti"), "column", "tbl", _thing("source", "source_key")),
+            part(calc_items, "column", "tbl", _thing("calculation item", _in_brackets("tbl", "item")), alone=False),
+            part(offered, "column", "tbl", _thing("parameter item", _in_brackets("node_table", "node_name")), alone=False),
+            part(params, "home", "tbl", nothing, alone=False),
+            part(params, "column", "tbl", nothing, alone=False),
         ]
-    ).distinct()
+    )
+    is_measure = F.col("type") == "measure"
+    keys = F.when(
+        is_measure,
+        F.array(F.struct(F.lit("measure").alias("role"), F.col("field").alias("key")), F.struct(F.lit("home").alias("role"), F.col("tbl").alias("key"))),
+    ).otherwise(F.array(F.struct(F.lit("column").alias("role"), F.col("tbl").alias("key"))))
+    keyed = uses.where(F.col("type").isNotNull()).select("visual", "tbl", "field", F.explode(keys).alias("k")).select("visual", "tbl", "field", "k.*")
+    met = keyed.join(_listed(ws, things, listed), ["key", "role"], "left")
+    itself = _in_brackets("tbl", "field")
+    plain = F.coalesce("alone", F.lit(True))  # no parameter or calculation group, which stand for their items
+    own = (
+        F.when(F.col("role") == "measure", F.array(_thing("measure", itself)))
+        .when(~plain, F.array().cast("array<string>"))
+        .when(F.col("role") == "home", F.array(_thing("table", "tbl")))
+        .otherwise(F.array(_thing("column", itself), _thing("table", "tbl")))
+    )
+    brought = met.select("visual", F.when(F.col("things").isNull(), own).otherwise(F.concat(own, "things")).alias("things"))
+    things = brought.repartition("visual").select("visual", F.explode("things").alias("thing")).distinct()
+    return things.select("visual", *_kind_and_name(F.col("thing")))
 
 
 def field_lineage(f: Formulas, sources: DataFrame) -> DataFrame:

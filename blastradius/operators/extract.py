@@ -36,12 +36,6 @@ def parameter_test(df: DataFrame) -> DataFrame:
     return df.select("id", (F.col("has_marker") | (computed & tuples)).alias("is_parameter"))
 
 
-def delegated(queries: DataFrame, shared: DataFrame) -> DataFrame:
-    """Adds ``base``: text of the shared query a query starts from, else null (one step)."""
-    bodies = shared.select(F.col("name").alias("ref"), F.col("expr").alias("base"))
-    return queries.withColumn("ref", T.shared_ref(F.col("m"))).join(bodies, "ref", "left")
-
-
 def connectors(queries: DataFrame, shared: DataFrame) -> DataFrame:
     """tbl and the sources its query opens; a database is also parameterized where the query names a declared parameter anywhere."""
     declared = shared.where(T.parameter_value(F.col("expr")).isNotNull()).select(F.col("name").alias("param"))
@@ -58,12 +52,17 @@ def table_sources(queries: DataFrame, shared: DataFrame) -> DataFrame:
     A query that opens nothing itself takes the sources of the shared query it
     starts from.
     """
-    own = T.connectors(F.col("m"))
-    picked = delegated(queries, shared).withColumn(
-        "found", F.when(F.size(own) > 0, own).otherwise(T.connectors(F.col("base")))
+    # Texts are parsed once and before any filter, and what is joined are rows without texts; those
+    # that need no shared query have keys of their own, so that they don't meet in one task.
+    opened = queries.select("tbl", "ord", T.shared_ref(F.col("m")).alias("ref"), F.explode_outer(T.connectors(F.col("m"))).alias("x")).select(
+        "tbl", "ord", "x", (F.col("x").isNull() & F.col("ref").isNotNull()).alias("passes_on"), F.coalesce("ref", "tbl").alias("name")
     )
+    bases = shared.select(F.lit(True).alias("passes_on"), "name", F.explode(T.connectors(F.col("expr"))).alias("base"))
     return (
-        rows_of(picked.where(F.size("found") > 0), ["tbl", "ord"], F.col("found"))
+        opened.join(bases, ["passes_on", "name"], "left")
+        .select("tbl", "ord", F.coalesce("x", "base").alias("x"))
+        .where(F.col("x").isNotNull())
+        .select("tbl", "ord", "x.*")
         .withColumn("source_key", source_key(*[F.col(c) for c in ("kind", "server", "database", "url", "path")]))
         .groupBy("tbl", "source_key")
         .agg(F.min(F.struct("ord", "kind", "server", "database", "url", "path", "parameterized")).alias("s"))

@@ -446,7 +446,7 @@ union select l.visual, 'source', s.source_key from fx_lt l join fx_st s on s.tbl
 def visual_lineage(c: Context):
     """Everything a visual is built from, down to its sources."""
     params = c.parameter_items.select(F.col("param").alias("tbl")).distinct()
-    return K.visual_lineage(formulas(c), c.field_use, c.calc_items, items(c), params, sources(c))
+    return K.visual_lineage(c.ws, formulas(c), c.field_use, c.calc_items, items(c), params, sources(c))
 
 
 @query(
