@@ -25,18 +25,20 @@ def heading(c: Column) -> Column:
     return F.regexp_replace(F.lower(strip(c)), r"[\s_]+", " ")
 
 
-def _sheets(docs: DataFrame) -> DataFrame:
-    """doc, lines (without blank ones), heads: headings by position."""
-    lines = F.filter(F.split("body", r"\r?\n"), lambda x: strip(x) != "")
-    return docs.select("doc", lines.alias("lines")).withColumn(
-        "heads", F.transform(cells(F.try_element_at("lines", F.lit(1))), heading)
-    )
+def _lines() -> Column:
+    """Lines of a sheet without blank ones."""
+    return F.filter(F.split("body", r"\r?\n"), lambda x: strip(x) != "")
+
+
+def _heads(lines: Column) -> Column:
+    """Headings by position."""
+    return F.transform(cells(F.try_element_at(lines, F.lit(1))), heading)
 
 
-def _place(name: str) -> Column:
+def _place(heads: Column, name: str) -> Column:
     """Position of a heading, the last one if it is repeated; 0 where it is missing."""
-    back = F.array_position(F.reverse("heads"), name)
-    return F.when(back > 0, F.size("heads") - back + 1).otherwise(F.lit(0)).cast("int")
+    back = F.array_position(F.reverse(heads), name)
+    return F.when(back > 0, F.size(heads) - back + 1).otherwise(F.lit(0)).cast("int")
 
 
 def mapping_scan(docs: DataFrame) -> DataFrame:
@@ -45,9 +47,10 @@ def mapping_scan(docs: DataFrame) -> DataFrame:
     Rows are numbered as in a sheet, the heading being row 1, after blank lines
     are dropped.
     """
-    rows = _sheets(docs).select(
+    sheets = docs.select("doc", _lines().alias("lines")).withColumn("heads", _heads(F.col("lines")))
+    rows = sheets.select(
         "doc",
-        *[_place(head.lower()).alias(f"at_{key}") for key, head, _ in MAPPING_COLUMNS],
+        *[_place(F.col("heads"), head.lower()).alias(f"at_{key}") for key, head, _ in MAPPING_COLUMNS],
         F.posexplode(F.slice("lines", 2, 1 << 30)).alias("pos", "line"),
     ).withColumn("cells", cells(F.col("line")))
 
@@ -60,10 +63,12 @@ def mapping_scan(docs: DataFrame) -> DataFrame:
 
 def mapping_scan_errors(docs: DataFrame) -> DataFrame:
     """doc, missing: sheets without a required heading; their rows must not be used."""
-    absent = F.array_join(
-        F.array_compact(
-            F.array(*[F.when(_place(head.lower()) == 0, head) for _, head, required in MAPPING_COLUMNS if required])
-        ),
-        ", ",
-    )
-    return _sheets(docs).select("doc", absent.alias("missing")).where(F.col("missing") != "")
+
+    def absent(heads: Column) -> Column:
+        places = [F.when(_place(heads, head.lower()) == 0, head) for _, head, required in MAPPING_COLUMNS if required]
+        return F.array_join(F.array_compact(F.array(*places)), ", ")
+
+    # Exploded, not filtered: a filter would be moved down to the given rows, with the sheet parsed anew for
+    # every mention of its headings.
+    missing = F.filter(F.transform(F.transform(F.array(_lines()), _heads), absent), lambda m: m != "")
+    return docs.select("doc", F.explode(missing).alias("missing"))

@@ -1,8 +1,9 @@
-"""Lineage of visuals and sources of tables: what is read and parsed once, and the rows of a small model."""
+"""Lineage of visuals, sources of tables, mapping sheets: what is read and parsed once, and the rows of small models."""
 
 from blastradius.operators import catalog as K
 from blastradius.operators.extract import table_sources
 from blastradius.queries import QUERIES
+from blastradius.sources.mapping_csv import mapping_scan_errors
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +71,19 @@ def test_lineage_of_a_small_model(spark, ws):
     for listed in (1, K.LISTED):
         rows = [tuple(r) for r in K.visual_lineage(ws, f, uses, groups, items, params, sources, listed).select("visual", "kind", "name").collect()]
         assert len(rows) == len(want) and set(rows) == want
+
+
+def test_headings_are_not_read_in_filters(spark):
+    docs = spark.createDataFrame(
+        [
+            ("a", "from_database, From  Schema,FROM TABLE,To Table\nd,s,t,T"),
+            ("b", "\r\n \r\nFrom Table,to table\nx"),
+            ("c", ""),
+            ("d", None),
+        ],
+        "doc string, body string",
+    )
+    found = mapping_scan_errors(docs)
+    assert not [line for line in optimized(found) if "Filter" in line and "split" in line]
+    every = "From Database, From Schema, From Table, To Table"
+    assert sorted((r.doc, r.missing) for r in found.collect()) == [("b", "From Database, From Schema"), ("c", every), ("d", every)]
