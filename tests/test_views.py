@@ -60,3 +60,30 @@ def test_a_page_that_leads_nowhere_needs_no_walk(spark, ws, monkeypatch, extra,
     starts = spark.createDataFrame([("p", None)], "id string, col string")
     got = W.trace(ws, n, e, spark.createDataFrame([], "id string, col string"), starts, "down").collect()
     assert {r.reached for r in got} == reached and (given[0].count() > 1) == walked
+
+
+def test_sides_that_grow_are_dealt_and_not_sent_to_the_driver(spark):
+    from blastradius.operators import diagnostics as D
+    from blastradius.operators import impact as I
+    from blastradius.plans import registry
+
+    c = registry.context(spark, SF)
+    links = c.given("edges").where("kind = 'dbt_to_pbi'")
+    feeders = I.key_feeders(c.relationships, c.depends_on, links, c.cols)
+    floored = spark.createDataFrame([("tab:c1", "K1", 3, "low")], "id string, col string, visuals bigint, band string")
+    marks = I.has_lineage(c.cols, c.given("edges"))
+    direct = I.relationship_reach(c.relationships, feeders, c.cols)
+    later = direct.select("id", "col", direct.relationships.alias("relationships_downstream"))
+    tables = {
+        "key_feeders": feeders,
+        "relationship_reach": direct,
+        "band_floor": I.band_floor(floored, direct, later),
+        "has_lineage": marks,
+        "columns_unlinked": D.columns_unlinked(c.bi_cols, marks),
+        "keys_unlinked": D.keys_unlinked(c.bi_cols, marks, I.relationship_sides(c.relationships)),
+        "untested_high": D.untested_high(c.nodes, floored),
+        "coverage": D.coverage(c.bi_cols, marks, floored, c.nodes),
+    }
+    sent = {n for n, t in tables.items() if "BroadcastHashJoin" in t._jdf.queryExecution().executedPlan().toString()}
+    assert not sent
+    registry.forget(spark)
