@@ -87,3 +87,20 @@ def test_sides_that_grow_are_dealt_and_not_sent_to_the_driver(spark):
     sent = {n for n, t in tables.items() if "BroadcastHashJoin" in t._jdf.queryExecution().executedPlan().toString()}
     assert not sent
     registry.forget(spark)
+
+
+def test_rounds_deal_sides_of_many_rows(spark, ws, monkeypatch):
+    import random
+
+    from blastradius.operators import closure as C
+
+    rng = random.Random(7)
+    arcs = sorted({(rng.randrange(12), rng.randrange(12)) for _ in range(20)})
+    steps = spark.createDataFrame(arcs, "src int, dst int")
+    given, dealt = [], []
+    monkeypatch.setattr(C, "dealt", lambda df: dealt.append(df) or df.hint("merge"))
+    for many in (50_000, 0):
+        monkeypatch.setattr(C, "MANY", many)
+        given.append(sorted(tuple(r) for r in C.pairs(C.closure(ws, steps)).collect()))
+        assert bool(dealt) == (many == 0)
+    assert given[0] == given[1] and len(given[0]) > len(arcs)
