@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from blastradius.functions.norm import lineage_name, lineage_rank, norm
 from blastradius.operators.closure import (
     CONTAINMENT,
+    MANY,
     NodeGraph,
     StateGraph,
     closure,
@@ -15,7 +16,7 @@ from blastradius.operators.closure import (
     pairs,
     union_all,
 )
-from blastradius.workspace import Workspace
+from blastradius.workspace import Workspace, dealt
 
 
 def reach_set(ws: Workspace, steps: DataFrame, start: DataFrame, name: str, written: bool = False) -> DataFrame:
@@ -119,7 +120,7 @@ def page_summary(graph: NodeGraph, edges: DataFrame) -> DataFrame:
 
 def trace_graph(ws: Workspace, nodes: DataFrame, edges: DataFrame, columns: DataFrame, direction: str) -> StateGraph:
     """The graph that traces of one direction walk; it serves any number of them."""
-    return StateGraph(ws, nodes, edges, columns, consuming=("measure", "visual", "page"), up=direction == "up")
+    return StateGraph(ws, nodes, edges, columns, consuming=("measure", "visual", "page"), up=direction == "up", ids=True)
 
 
 def trace(
@@ -158,40 +159,43 @@ def trace(
         .select("id", "col", F.col("nid").alias("origin"), "nid", "low", "kind")
     )
     tracked = nodes.select("id").join(columns.select("id").distinct().withColumn("cols", F.lit(True)), "id", "left")
-    picks = ws.save(at_column.unionByName(at_node).join(tracked, "id"), "picks")
+    picks, picked = ws.save_counted(at_column.unionByName(at_node).join(tracked, "id"), "picks")
     found = graph.spread(picks.select("origin", "nid", F.col("low").alias("col"), "kind"), f"trace-{direction}")
     held = edges.where(F.col("kind") == CONTAINMENT).select("src", "dst").distinct()
-    number = graph.nodes.select("id", "nid")
-    inside = (
+    number = graph.nodes.select("id", "nid", "kind")
+    inside = ws.save(
         held.join(number.select(F.col("id").alias("src"), F.col("nid").alias("page")), "src")
-        .join(number.select(F.col("id").alias("dst"), F.col("nid").alias("visual")), "dst")
-        .select("page", "visual")
+        .join(number.select(F.col("id").alias("dst"), F.col("nid").alias("visual"), "kind"), "dst")
+        .select(F.col("src").alias("page_id"), "page", F.col("dst").alias("visual_id"), "visual", "kind"),
+        "inside",
     )
     if direction == "down":
-        ends = picks.join(inside, picks["origin"] == inside["page"]).select(
-            "origin", F.col("visual").alias("nid"), F.lit(1).alias("hop")
+        ends = picks.join(inside.drop("kind"), picks["origin"] == inside["page"]).select(
+            "origin", F.col("visual_id").alias("id"), F.lit(1).alias("hop")
         )
     else:
-        at = found.select("origin", "nid", "hop").unionByName(
-            picks.select("origin", F.col("origin").alias("nid"), F.lit(0).alias("hop"))
-        )
-        ends = at.join(inside, at["nid"] == inside["visual"]).select(
-            "origin", F.col("page").alias("nid"), (F.col("hop") + 1).alias("hop")
+        on_pages = {r.kind for r in inside.select("kind").distinct().collect()}  # kinds only
+        at = found.where(F.col("kind").isin(*sorted(on_pages)) if on_pages else F.lit(False)).select("origin", "id", "hop")
+        at = at.unionByName(picks.where(F.col("low").isNull()).select("origin", "id", F.lit(0).alias("hop")))
+        ends = at.join(inside.select(F.col("visual_id").alias("id"), "page_id"), "id").select(
+            "origin", F.col("page_id").alias("id"), (F.col("hop") + 1).alias("hop")
         )
-    rows = found.select("origin", "nid", "v", "w", "hop").unionByName(
-        ends.select("origin", "nid", F.col("nid").alias("v"), F.lit(1).cast("tinyint").alias("w"), "hop")
+    rows = found.select("origin", "id", "col", "w", "hop").unionByName(
+        ends.select("origin", "id", F.lit(None).cast("string").alias("col"), F.lit(1).cast("tinyint").alias("w"), "hop")
     )
-    # Dealt by the pair once for both groupings; few positions of a node are reached.
-    per_position = rows.repartition("origin", "nid").groupBy("origin", "nid", "v").agg(F.max("w").alias("w"), F.min("hop").alias("hop"))
+    # Dealt by many origins, for the join with the picks too; few origins may reach very much each.  A walk comes to a
+    # position with a column kept at most once, so columns are counted as they come.
+    many = picked > MANY
+    own = picks.select("origin", "id", "col", "cols")
     return (
-        per_position.groupBy("origin", "nid")
+        rows.repartition(*["origin"] if many else ["origin", "id"])
+        .groupBy("origin", F.col("id").alias("reached"))
         .agg(
             F.min("hop").alias("hop"),
             F.max("w").alias("w"),
-            F.count_if((F.col("v") < 0) & (F.col("w") == 1)).alias("columns"),
+            F.count_if(F.col("col").isNotNull() & (F.col("w") == 1)).alias("columns"),
         )
-        .join(picks.select("origin", "id", "col", "cols"), "origin")
-        .join(number.select(F.col("id").alias("reached"), "nid"), "nid")
+        .join(dealt(own) if many else own, "origin")
         .select(
             "id",
             "col",

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from blastradius.operators import walks as W
 from blastradius.plans import estate
@@ -104,3 +105,31 @@ def test_rounds_deal_sides_of_many_rows(spark, ws, monkeypatch):
         given.append(sorted(tuple(r) for r in C.pairs(C.closure(ws, steps)).collect()))
         assert bool(dealt) == (many == 0)
     assert given[0] == given[1] and len(given[0]) > len(arcs)
+
+
+def test_what_is_written_leaves_no_shuffle_files(spark, ws):
+    from blastradius.workspace import CLEANUP
+
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before, setting = files.getAllFiles().size(), spark.conf.get(CLEANUP, None)
+    got = ws.save(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    assert got.count() == 7 and files.getAllFiles().size() <= before
+    assert spark.conf.get(CLEANUP, None) == setting
+
+
+def test_a_trace_deals_its_rows_once_and_needs_no_join_for_ids(spark, ws, monkeypatch):
+    n = nodes(spark, s="source", m="model", t="pbiTable", a="measure", v="visual", w="visual", p="page")
+    e = edges(
+        spark, ("s", "m", None, "x"), ("m", "t", "X", "k"), ("m", "t", "y", "l"), ("t", "a", None, None), ("a", "v", None, None), ("t", "v", "k", None), ("t", "w", "l", None),
+        ("p", "v", None, None, "page_to_visual"), ("p", "w", None, None, "page_to_visual"),
+    )
+    c, starts = spark.createDataFrame([("t", "k")], "id string, col string"), n.where("kind = 'visual'").selectExpr("id", "cast(null as string) as col")
+    given = []
+    for many in (50_000, 0):
+        monkeypatch.setattr(W, "MANY", many)
+        traced = W.trace(ws, n, e, c, starts, "up")
+        given.append(sorted(tuple(r) for r in traced.collect()))
+    assert given[0] == given[1]
+    assert ("v", None, "t", 1, 1, False) in given[0] and ("v", None, "p", 1, 0, False) in given[0] and ("v", None, "s", 3, 0, False) in given[0]
+    plan = traced._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join ") == 2 and plan.count("RepartitionByExpression") + plan.count("Exchange hashpartitioning") <= 1
